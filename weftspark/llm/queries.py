@@ -5,15 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, neardup_vectors, packing, token_files, topk, toxicity
+from . import html_text, jaccard, mixing, neardup_vectors, packing, token_files, topk, toxicity, urlgraph, warc
 from .common import table
 from .wordpieces import tokenizer_path
 
 
+def op1_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.judge(table(spark, sf_dir, "pages"))
+
+
+def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read(warc.write(table(spark, sf_dir, "pages")), payloads=False)
+    return found.filter("reason is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -41,4 +54,4 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(v, v.filter("vec_id % 50 = 0"), 5)
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_toxicity, op6_jaccard_join, op7_mix_sources, op8_token_files, op9_vector_near_dup, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_url_graph, op2_warc_salvage, op3_best_fit_packing, op4_html_text, op5_toxicity, op6_jaccard_join, op7_mix_sources, op8_token_files, op9_vector_near_dup, op10_exact_top_k)}
