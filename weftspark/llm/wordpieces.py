@@ -11,8 +11,8 @@ from __future__ import annotations
 import os
 from array import array
 
-#: Parts kept before the store is emptied; about 150 bytes each.
-STORE = 500_000
+#: Parts kept before the store is emptied; about 200 bytes each.
+STORE = 1_200_000
 #: Longer parts are encoded but not kept.
 LONGEST = 64
 
