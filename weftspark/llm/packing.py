@@ -47,7 +47,7 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     """Empty bins by moves and one-for-one and two-for-one exchanges between underfull bins.
 
-    The emptiest bin gives: an item moves to the fullest bin with room for it, or it, or two of its items
+    The emptiest bins give in turn: an item moves to the fullest bin with room for it, or it, or two of its items
     together, are exchanged for a shorter item of another bin. Each step moves tokens from the emptier to the
     fuller bin, so the sum of squared fills rises and the search ends. It stops at the bound that the total
     length sets, or when no step is left.
@@ -56,7 +56,14 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAP
     rest = [b for b in bins if int(lengths[b].sum()) < capacity]
     least = -(-int(sum(lengths[b].sum() for b in rest)) // capacity)
     done: list[list[int]] = []
-    while len(rest) > max(least, 1):
+    squares = lambda all_: sum(int(lengths[b].sum()) ** 2 for b in all_)
+    before = -1
+    while len(rest) + len(done) > max(least, 1):
+        if len(rest) < 2 or len(done) > 8:  # one more pass if the last one moved anything
+            rest, done = rest + done, []
+            if squares(rest) <= before:
+                break
+            before = squares(rest)
         rest.sort(key=lambda b: int(lengths[b].sum()), reverse=True)
         giver = list(rest.pop())
         fill = np.array([int(lengths[b].sum()) for b in rest])
@@ -97,10 +104,9 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAP
         cuts = np.searchsorted(home[order], np.arange(1, len(rest)))
         rest = [x.tolist() for x in np.split(item[order], cuts)]
         if giver:
-            done.append(giver)  # no step empties it
-            least -= 1
-            if len(done) > 8:
-                break
+            done.append(giver)  # no step empties it as the others are now
+        else:
+            rest, done = rest + done, []
     return full + done + rest
 
 
