@@ -120,7 +120,7 @@ def verified(a: np.ndarray, b: np.ndarray, t: int = THRESHOLD) -> bool:
 
 
 def sets(docs: DataFrame, bands: Bands, n: int = N) -> DataFrame:
-    """doc_id, n_shingles, fp (hash of the set, null if empty), keys (only where a task meets fp first)."""
+    """doc_id, n_shingles, fp (hash of the set, null if empty); block keys and short sketches where a task meets fp first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
@@ -131,14 +131,18 @@ def sets(docs: DataFrame, bands: Bands, n: int = N) -> DataFrame:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 h = shingles(text, n)
                 if not len(h):
-                    rows.append((doc, 0, None, None))
+                    rows.append((doc, 0, None, None, None))
                     continue
                 fp = xxh3_64_intdigest(h.tobytes()) >> 1
-                rows.append((doc, len(h), fp, None if fp in seen else block_keys(h, bands).view(np.int64)))
+                if fp in seen:
+                    rows.append((doc, len(h), fp, None, None))
+                    continue
                 seen.add(fp)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["doc_id", "n_shingles", "fp", "keys"])
+                rows.append((doc, len(h), fp, block_keys(h, bands).view(np.int64), [(k, sketch(h, bands.words(k))) for k, _ in bands.of(len(h))]))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "n_shingles", "fp", "keys", "sk"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, fp long, keys array<long>")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.list_(pa.int64()))])))
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, fp long, keys array<long>, sk array<struct<band: int, bits: array<long>>>")
 
 
 def join(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,25 +193,24 @@ def join(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, id_col: str =
 
     met = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(shared, "key long, fp long, rank long")
     met = materialize(met, "shared-blocks")
-    wanted = met.select("fp").distinct().join(node, "fp").select("fp", "doc")
-    wanted = materialize(wanted, "wanted")
-    texts = rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, rows.doc_id == wanted.doc).select("fp", "text")
+    info = found.filter("sk is not null").dropDuplicates(["fp"]).select("fp", F.col("n_shingles").alias("n"), F.explode("sk").alias("s")).select("fp", "n", "s.*")
+    info = materialize(info.join(met.select("fp").distinct(), "fp", "left_semi"), "sketches")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole sets; one of the copies of a task is enough."""
         from xxhash import xxh3_64_intdigest
 
+        seen: set[int] = set()
         for b in batches:
-            rows_ = []
+            out = []
             for fp, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = shingles(text, n)
-                if len(h) and xxh3_64_intdigest(h.tobytes()) >> 1 == fp:
-                    rows_.append((fp, len(h), h.tobytes(), [sketch(h, bands.words(k)).tolist() for k, _ in bands.of(len(h))], [k for k, _ in bands.of(len(h))]))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows_) if rows_ else [()] * 5, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int32())))], names=["fp", "n", "h", "sk", "bands"])
+                h = b"" if fp in seen else shingles(text, n).tobytes()
+                if h and xxh3_64_intdigest(h) >> 1 == fp:
+                    seen.add(fp)
+                    out.append((fp, h))
+            yield batched(out, pa.schema([("fp", pa.int64()), ("h", pa.binary())]))
 
-    whole = texts.mapInArrow(hashes, "fp long, n long, h binary, sk array<array<long>>, bands array<int>").dropDuplicates(["fp"])
-    whole = materialize(whole, "candidate-sets")
     size = met.groupBy("key").agg((F.max("rank") + 1).alias("size"))
-    info = whole.select("fp", "n", "sk", "bands")
     low, high, links, label, tested = 0, 1, None, None, None
     most = size.agg(F.max("size")).first()[0] or 0
     while low < most - 1:
@@ -217,24 +220,19 @@ def join(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, id_col: str =
         else:
             mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("rank").alias("last")).filter(f"lo < hi and last > {low}")
             now = now.join(mixed.select("key"), "key")
-        p = now.filter(f"rank >= {low} and rank < {high}").select("key", F.col("fp").alias("a"), F.col("rank").alias("ra"), F.col("comp").alias("ca"))
-        pair = p.join(now.filter(f"rank > {low}"), "key").filter("rank > ra and ca <> comp").select("a", F.col("fp").alias("b")).distinct()
-        pair = pair if tested is None else pair.join(tested, ["a", "b"], "left_anti")
-        left = info.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("sk").alias("sa"), F.col("bands").alias("ba"))
-        right = info.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("sk").alias("sb"), F.col("bands").alias("bb"))
-        close = pair.join(left, "a").join(right, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold)
-
-        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Pairs whose sketches are within the bound, in a band that both have."""
-            for b in batches:
-                ok = []
-                for na, nb, sa, sb, ba, bb in zip(*(b.column(c).to_pylist() for c in ("na", "nb", "sa", "sb", "ba", "bb"))):
-                    k = next(k for k in ba if k in bb) if set(ba) & set(bb) else None
-                    x = k is not None and np.bitwise_count((np.array(sa[ba.index(k)]) ^ np.array(sb[bb.index(k)])).view(np.uint64)).sum()
-                    ok.append(k is not None and int(x) <= bands.bound(na, nb))
-                yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-        close = materialize(close.mapInArrow(near, "a long, b long"), "sketch-pairs")
+        now = now.join(info, "fp")
+        p = now.filter(f"rank >= {low} and rank < {high}").select("key", "band", *(F.col(c).alias(f"{c}_a") for c in ("fp", "rank", "comp", "n", "bits")))
+        # compared where they share the block: order, component, size, and Hamming distance within the bound
+        apart = F.aggregate(F.zip_with("bits_a", "bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, v: t + v)
+        near = (F.col("rank") > F.col("rank_a")) & (F.col("comp") != F.col("comp_a")) & (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * threshold)
+        near = near & (apart * (100 + threshold) <= (100 - threshold) * (F.col("n") + F.col("n_a")))
+        q = now.filter(f"rank > {low}").withColumnsRenamed({"key": "key_b", "band": "band_b"})
+        pair = p.join(q, (F.col("key") == F.col("key_b")) & (F.col("band") == F.col("band_b")) & near).select(F.col("fp_a").alias("a"), F.col("fp").alias("b")).distinct()
+        close = materialize(pair if tested is None else pair.join(tested, ["a", "b"], "left_anti"), "sketch-pairs")
+        wanted = close.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(node, "fp").select("fp", "doc")
+        wanted = materialize(wanted, "wanted")
+        texts = rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, rows.doc_id == wanted.doc).select("fp", "text")
+        whole = materialize(texts.mapInArrow(hashes, "fp long, h binary"), "candidate-sets")
         # a set and those it is compared with meet in one stream; the set itself comes first
         other = close.join(whole.select(F.col("fp").alias("b"), "h"), "b").select("a", "b", "h")
         own = close.select("a").distinct().join(whole.select(F.col("fp").alias("a"), "h"), "a").select("a", F.lit(None).cast("long").alias("b"), "h")
