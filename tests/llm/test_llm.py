@@ -107,7 +107,9 @@ def test_toxicity(spark):
     assert toxicity.fit(d, spark.createDataFrame([], "doc_id long, toxic int")).score("vile") < 0.3
 
 
-def test_jaccard(spark):
+@pytest.mark.parametrize("part", [jaccard.PART, 3])
+def test_jaccard(spark, monkeypatch, part):
+    monkeypatch.setattr(jaccard, "PART", part)
     rng = np.random.default_rng(2)
     base = [rng.choice(300, 120).astype(str).tolist() for _ in range(12)]
     rows = []

@@ -2,10 +2,10 @@
 
 A shingle flips one bit of a sketch, so the Hamming distance of two sketches is at most the size of the sets'
 symmetric difference, and that is at most (100 - t) (a + b) / (100 + t) for linked sets of sizes a and b. Sets
-meet in bands of similar size. Within a band the sketch is cut into blocks; a set emits its first blocks with
-a bit set, one more than the bound allows to differ, so linked sets share one (pigeonhole). Sets that
-share a block are candidates unless the Hamming distance of a short whole sketch already exceeds the bound; the
-rest are verified exactly on their shingles.
+meet in bands of similar size. Within a band the sketch is cut into blocks, more than may differ. Blocks are
+ordered, those of many elements first, as they say most; a set emits one more than may differ, so linked sets
+share one (pigeonhole, as in prefix filtering). Sets that share a block are compared by the Hamming distance of a
+short whole sketch; what passes is verified on the shingles.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, materialize, runs, tune
+from .common import batched, materialize, tune
 from .components import components
 
 N, THRESHOLD = 4, 85
@@ -27,6 +27,10 @@ BLOCK_BITS = 4096
 RATIO = 1.5
 #: Ids that may be sent to every executor; beyond it texts are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Bytes of an Arrow batch; pairs of long sets are heavy.
+BATCH_BYTES = 1 << 24
+#: Sets of a block that one task holds; a larger block is cut into parts, and parts are compared in pairs.
+PART = 8192
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -75,7 +79,7 @@ class Bands:
 
     def blocks(self, k: int) -> int:
         d = self.bound(self.starts[k + 1] - 1, self.starts[k + 1] - 1)
-        return d + 1 + max(1, d // 8) if d else 1
+        return d + 1 + (d + 1) // 4
 
     def words(self, k: int) -> int:
         """64-bit words of the short sketch: about four bits an allowed difference."""
@@ -91,26 +95,21 @@ def sketch(h: np.ndarray, words: int) -> np.ndarray:
 
 
 def block_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys of the blocks that a set emits, over all its bands.
+    """Keys of the blocks that a set emits, over all its bands; empty blocks come last and count as equal.
 
-    A set with too few non-empty blocks is short of the pigeonhole's number; two such sets meet under a next seed.
+    The low seven bits of a key are its band.
     """
     out = []
+    g = mix(h + _C[4])
+    bit = (g >> np.uint64(40)) % np.uint64(BLOCK_BITS)
     for k, differ in bands.of(len(h)):
         blocks = bands.blocks(k)
-        for seed in range(64):
-            g = mix(h + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-            block = (g % np.uint64(blocks)).astype(np.int64)
-            bit = (g >> np.uint64(40)) % np.uint64(BLOCK_BITS)
-            value = mix((bit + np.uint64(1)) * _C[0] + block.astype(np.uint64) * _C[1])
-            key = np.zeros(blocks, np.uint64)
-            np.bitwise_xor.at(key, block, value)
-            used = np.flatnonzero(np.bincount(block, minlength=blocks))
-            take = used[: differ + 1]
-            head = np.uint64(((k << 8 | seed) + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
-            out.append(mix(mix(key[take] + head) + take.astype(np.uint64)))
-            if len(used) > differ:
-                break
+        block = (g % np.uint64(blocks)).astype(np.int64)
+        key = np.zeros(blocks, np.uint64)
+        np.bitwise_xor.at(key, block, mix((bit + np.uint64(1)) * _C[0] + block.astype(np.uint64) * _C[1]))
+        held = np.bincount(block, minlength=blocks)
+        key = mix(key + np.arange(blocks, dtype=np.uint64) * _C[2])
+        out.append(key[np.lexsort((key, -held))[: differ + 1]] & ~np.uint64(127) | np.uint64(k))
     return np.concatenate(out)
 
 
@@ -119,6 +118,11 @@ def verified(a: np.ndarray, b: np.ndarray, t: int = THRESHOLD) -> bool:
     return 100 * both >= t * (len(a) + len(b) - both)
 
 
+def lists(parts: list[np.ndarray], kind: np.dtype) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate([*parts, np.zeros(0, kind)]).astype(kind, copy=False))
+
+
 def sets(docs: DataFrame, bands: Bands, n: int = N) -> DataFrame:
     """doc_id, n_shingles, fp (hash of the set, null if empty); block keys and short sketches where a task meets fp first."""
 
@@ -126,143 +130,206 @@ def sets(docs: DataFrame, bands: Bands, n: int = N) -> DataFrame:
         from xxhash import xxh3_64_intdigest
 
         seen: set[int] = set()
+        none = np.zeros(0, np.int64)
         for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            sizes, fps, keys, band, bits, sketches = [], [], [], [], [], [0]
+            for text in b.column(1).to_pylist():
                 h = shingles(text, n)
-                if not len(h):
-                    rows.append((doc, 0, None, None, None))
-                    continue
-                fp = xxh3_64_intdigest(h.tobytes()) >> 1
-                if fp in seen:
-                    rows.append((doc, len(h), fp, None, None))
-                    continue
-                seen.add(fp)
-                rows.append((doc, len(h), fp, block_keys(h, bands).view(np.int64), [(k, sketch(h, bands.words(k))) for k, _ in bands.of(len(h))]))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "n_shingles", "fp", "keys", "sk"])
-
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.list_(pa.int64()))])))
+                fp = xxh3_64_intdigest(h.tobytes()) >> 1 if len(h) else None
+                sizes.append(len(h))
+                fps.append(fp)
+                if fp is None or fp in seen:
+                    keys.append(none)
+                else:
+                    seen.add(fp)
+                    keys.append(block_keys(h, bands).view(np.int64))
+                    for k, _ in bands.of(len(h)):
+                        band.append(k)
+                        bits.append(sketch(h, bands.words(k)))
+                sketches.append(len(band))
+            sk = pa.ListArray.from_arrays(pa.array(sketches, pa.int32()), pa.StructArray.from_arrays([pa.array(band, pa.int32()), lists(bits, np.int64)], ["band", "bits"]))
+            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), lists(keys, np.int64), sk], names=["doc_id", "n_shingles", "fp", "keys", "sk"])
+
     return docs.mapInArrow(run, "doc_id long, n_shingles long, fp long, keys array<long>, sk array<struct<band: int, bits: array<long>>>")
 
 
+def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of keys that more than one set has, with the set's rank there; the input is sorted by key and set."""
+    held_key, held_fp, rank, open_ = None, None, 0, False
+    for b in batches:
+        key, fp = b.column("key").to_numpy(), b.column("fp").to_numpy()
+        if not len(key):
+            continue
+        if held_key is not None:
+            key, fp = np.concatenate([[held_key], key]), np.concatenate([[held_fp], fp])
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
+        k, f = key[new], fp[new]
+        begin = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        r = np.arange(len(k)) - np.repeat(begin, np.diff(np.append(begin, len(k))))
+        r[: begin[1] if len(begin) > 1 else len(k)] += rank
+        out = (r > 0) | np.append(k[1:] == k[:-1], False)  # or the next row has the same key
+        out[-1] = False
+        held_key, held_fp, rank, open_ = k[-1], f[-1], int(r[-1]), r[-1] > 0
+        if out.any():
+            yield pa.record_batch([pa.array(k[out]), pa.array(f[out]), pa.array(r[out])], names=["key", "fp", "rank"])
+    if open_:
+        yield pa.record_batch([pa.array([held_key], pa.int64()), pa.array([held_fp], pa.int64()), pa.array([rank], pa.int64())], names=["key", "fp", "rank"])
+
+
+class Block:
+    """Rows of one or more parts of blocks as arrays; the bits of row i are bits[at[i] : at[i + 1]]."""
+
+    def __init__(self, table: pa.Table):
+        t = table.combine_chunks()
+        self.key, self.s, self.t, self.part, self.fp, self.n, self.comp = (t.column(c).to_numpy() for c in ("key", "s", "t", "part", "fp", "n", "comp"))
+        bits = t.column("bits").combine_chunks()
+        self.bits, self.at = bits.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(bits.value_lengths().to_numpy()))
+        self.whole = t
+
+    def starts(self) -> np.ndarray:
+        return np.flatnonzero(np.append(True, (self.key[1:] != self.key[:-1]) | (self.s[1:] != self.s[:-1]) | (self.t[1:] != self.t[:-1])))
+
+    def near(self, i: np.ndarray, j: np.ndarray, threshold: int) -> np.ndarray:
+        """Which pairs of rows, of one block each, may be linked by size and Hamming distance."""
+        long = self.at[i + 1] - self.at[i]
+        first = np.append(0, np.cumsum(long))
+        step = np.arange(first[-1])
+        x = step + np.repeat(self.at[i] - first[:-1], long)
+        y = step + np.repeat(self.at[j] - first[:-1], long)
+        apart = np.add.reduceat(np.bitwise_count(self.bits[x] ^ self.bits[y]).astype(np.int64), first[:-1]) if len(i) else np.zeros(0, np.int64)
+        a, b = self.n[i], self.n[j]
+        return (np.minimum(a, b) * 100 >= np.maximum(a, b) * threshold) & (apart * (100 + threshold) <= (100 - threshold) * (a + b))
+
+
+def stars(b: Block, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each set of a part with the first one that is near: one pair a set at most."""
+    begin = b.starts()
+    end = np.append(begin[1:], len(b.key))
+    lead = np.repeat(begin, end - begin)
+    row = np.arange(len(b.key))
+    near = b.near(lead, row, threshold)
+    yield lead[near & (lead != row)], row[near & (lead != row)]
+    left = np.flatnonzero(~near)
+    for some in np.split(left, np.flatnonzero(np.diff(lead[left])) + 1):
+        while len(some) > 1:
+            near = b.near(np.full(len(some) - 1, some[0]), some[1:], threshold)
+            yield np.full(near.sum(), some[0]), some[1:][near]
+            some = some[1:][~near]
+
+
+def crossing(b: Block, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All near pairs of different components: within a part, or between two."""
+    begin = b.starts()
+    for lo, hi in zip(begin, np.append(begin[1:], len(b.key))):
+        row = np.arange(lo, hi)
+        both = b.s[lo] != b.t[lo]
+        for i in row[b.part[row] == b.s[lo]]:
+            other = row[b.part[row] == b.t[lo]] if both else np.arange(i + 1, hi)
+            other = other[b.comp[other] != b.comp[i]]
+            if len(other):
+                near = b.near(np.full(len(other), i), other, threshold)
+                yield np.full(near.sum(), i), other[near]
+
+
+def compared(rows: DataFrame, how, threshold: int) -> DataFrame:
+    """Pairs a < b that `how` finds within each (key, s, t)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            b = Block(table)
+            for i, j in how(b, threshold):
+                if len(i):
+                    x, y = b.fp[i], b.fp[j]
+                    yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            last = tuple(b.column(c)[b.num_rows - 1].as_py() for c in ("key", "s", "t"))
+            same = np.logical_and.reduce([b.column(c).to_numpy() == v for c, v in zip(("key", "s", "t"), last)])
+            cut = int(np.argmax(same))
+            if cut or held and tuple(held[0].column(c)[0].as_py() for c in ("key", "s", "t")) != last:
+                yield from pairs(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = []
+            held.append(b.slice(cut))
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    rows = rows.select("key", "s", "t", "part", "rank", "fp", "n", "comp", "bits")
+    return rows.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t", "part", "rank").mapInArrow(run, "a long, b long").distinct()
+
+
 def join(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: components of the links with 100 * intersection >= threshold * union.
 
-    Documents with equal sets are one node. A block that many sets share is not expanded into all pairs: the sets
-    are ordered, the first ones are compared with the others, and further ones only where the block still holds
-    more than one component, in rounds until every pair of different components was compared. Nulls, empty texts
-    and null ids are linked with nothing; repeated ids are one document's rows; other columns are ignored.
+    Documents with equal sets are one node. The sets of a block are first compared with the earliest one that is
+    near, which joins a group of near copies by as many pairs as it has sets; then, where a block still holds more
+    than one component, all near pairs between different components are verified. Blocks of more than PART sets
+    are cut into parts. Nulls, empty texts and null ids are linked with nothing; repeated ids are one document's
+    rows; other columns are ignored.
     """
     spark = docs.sparkSession
     tune(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     bands = Bands(threshold)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = materialize(sets(rows, bands, n), "shingle-sets")
-    node = found.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"))
-    node = materialize(node, "nodes")
-    # sets that share a block, in the order of a hash
+    node = found.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc"))
     keyed = found.filter("keys is not null").select("fp", F.explode("keys").alias("key"))
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of keys that more than one set has; the input is sorted by key and set."""
-        held_key, held_fp, rank, open_ = None, None, 0, False
-        for b in batches:
-            key, fp = b.column("key").to_numpy(), b.column("fp").to_numpy()
-            if not len(key):
-                continue
-            if held_key is not None:
-                key, fp = np.concatenate([[held_key], key]), np.concatenate([[held_fp], fp])
-            else:
-                rank = 0
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
-            k, f = key[new], fp[new]
-            first = np.ones(len(k), bool)
-            first[1:] = k[1:] != k[:-1]
-            begin = np.flatnonzero(first)
-            r = np.arange(len(k)) - np.repeat(begin, np.diff(np.append(begin, len(k))))
-            r[: begin[1] if len(begin) > 1 else len(k)] += rank
-            more = np.append(k[1:] == k[:-1], False)  # the next row has the same key
-            out = (r > 0) | more
-            out[-1] = False
-            held_key, held_fp, rank, open_ = k[-1], f[-1], int(r[-1]), r[-1] > 0
-            if out.any():
-                yield pa.record_batch([pa.array(k[out]), pa.array(f[out]), pa.array(r[out])], names=["key", "fp", "rank"])
-        if open_:
-            yield pa.record_batch([pa.array([held_key], pa.int64()), pa.array([held_fp], pa.int64()), pa.array([rank], pa.int64())], names=["key", "fp", "rank"])
-
-    met = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(shared, "key long, fp long, rank long")
-    met = materialize(met, "shared-blocks")
-    info = found.filter("sk is not null").dropDuplicates(["fp"]).select("fp", F.col("n_shingles").alias("n"), F.explode("sk").alias("s")).select("fp", "n", "s.*")
-    info = materialize(info.join(met.select("fp").distinct(), "fp", "left_semi"), "sketches")
+    met = materialize(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(shared, "key long, fp long, rank long"), "shared-blocks")
+    info = found.filter("size(sk) > 0").select("fp", F.col("n_shingles").alias("n"), F.explode("sk").alias("s")).select("fp", "n", "s.*").dropDuplicates(["fp", "band"])
+    sized = met.groupBy("key").agg((F.max("rank") + 1).alias("size"))
+    met = met.withColumn("band", F.col("key").bitwiseAND(127).cast("int")).join(sized, "key").join(info, ["fp", "band"])
+    met = materialize(met.withColumn("part", F.floor(F.col("rank") / PART)).drop("band"), "blocks")
+    part = F.col("part").alias("s"), F.col("part").alias("t")
+    rest = met.withColumn("comp", F.col("fp")).select("*", *part)
+    # the earliest set of a block is compared with every part
+    parts = F.explode(F.sequence(F.lit(1).cast("long"), F.floor((F.col("size") - 1) / PART)))
+    heads = rest.filter(f"rank = 0 and size > {PART}").drop("s").withColumn("s", parts).withColumn("t", F.col("s")).withColumn("part", F.col("s"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole sets; one of the copies of a task is enough."""
+        """Whole sets."""
         from xxhash import xxh3_64_intdigest
 
-        seen: set[int] = set()
         for b in batches:
             out = []
             for fp, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = b"" if fp in seen else shingles(text, n).tobytes()
+                h = shingles(text, n).tobytes()
                 if h and xxh3_64_intdigest(h) >> 1 == fp:
-                    seen.add(fp)
                     out.append((fp, h))
             yield batched(out, pa.schema([("fp", pa.int64()), ("h", pa.binary())]))
 
-    size = met.groupBy("key").agg((F.max("rank") + 1).alias("size"))
-    low, high, links, label, tested = 0, 1, None, None, None
-    most = size.agg(F.max("size")).first()[0] or 0
-    while low < most - 1:
-        now = met if label is None else met.join(label, "fp", "left").select("key", "fp", "rank", F.coalesce("component", "fp").alias("comp"))
-        if label is None:
-            now = now.withColumn("comp", F.col("fp"))
-        else:
-            mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("rank").alias("last")).filter(f"lo < hi and last > {low}")
-            now = now.join(mixed.select("key"), "key")
-        now = now.join(info, "fp")
-        p = now.filter(f"rank >= {low} and rank < {high}").select("key", "band", *(F.col(c).alias(f"{c}_a") for c in ("fp", "rank", "comp", "n", "bits")))
-        # compared where they share the block: order, component, size, and Hamming distance within the bound
-        apart = F.aggregate(F.zip_with("bits_a", "bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, v: t + v)
-        near = (F.col("rank") > F.col("rank_a")) & (F.col("comp") != F.col("comp_a")) & (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * threshold)
-        near = near & (apart * (100 + threshold) <= (100 - threshold) * (F.col("n") + F.col("n_a")))
-        q = now.filter(f"rank > {low}").withColumnsRenamed({"key": "key_b", "band": "band_b"})
-        pair = p.join(q, (F.col("key") == F.col("key_b")) & (F.col("band") == F.col("band_b")) & near).select(F.col("fp_a").alias("a"), F.col("fp").alias("b")).distinct()
-        close = materialize(pair if tested is None else pair.join(tested, ["a", "b"], "left_anti"), "sketch-pairs")
-        wanted = close.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(node, "fp").select("fp", "doc")
-        wanted = materialize(wanted, "wanted")
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = b.column("ha"), b.column("hb")
+            good = [verified(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), threshold) for i in range(b.num_rows)]
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    def linked(close: DataFrame, name: str) -> DataFrame:
+        """The pairs that are links; whole sets are made anew for the sets in question only."""
+        wanted = materialize(close.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(node, "fp").select("fp", "doc"), "wanted")
         texts = rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, rows.doc_id == wanted.doc).select("fp", "text")
-        whole = materialize(texts.mapInArrow(hashes, "fp long, h binary"), "candidate-sets")
-        # a set and those it is compared with meet in one stream; the set itself comes first
-        other = close.join(whole.select(F.col("fp").alias("b"), "h"), "b").select("a", "b", "h")
-        own = close.select("a").distinct().join(whole.select(F.col("fp").alias("a"), "h"), "a").select("a", F.lit(None).cast("long").alias("b"), "h")
-        salt = F.pmod(F.coalesce("b", "a"), F.lit(8))
-        other = other.withColumn("salt", salt)
-        own = own.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
-
-        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, mine = None, None
-            for b in batches:
-                out = []
-                for x, y, h in zip(*(b.column(c) for c in ("a", "b", "h"))):
-                    x, y, h = x.as_py(), y.as_py(), np.frombuffer(h.as_py(), np.uint64)
-                    if y is None:
-                        at, mine = x, h
-                    elif verified(mine, h, threshold):
-                        out.append((x, y))
-                yield batched(out, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-        stream = other.unionByName(own).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-        good = materialize(stream.mapInArrow(verify, "a long, b long"), "links")
-        tested = close if tested is None else tested.unionByName(close)
-        if good.limit(1).count():
-            links = good if links is None else links.unionByName(good)
-            label = components(links).withColumnRenamed("node", "fp")
-        elif label is None:
-            label = spark.createDataFrame([], "fp long, component long")
-        low, high = high, high * 4
-    if label is None:
-        label = spark.createDataFrame([], "fp long, component long")
+        # repeated ids may give a set twice
+        whole = materialize(texts.mapInArrow(hashes, "fp long, h binary").dropDuplicates(["fp"]), "candidate-sets")
+        both = close.join(whole.select(F.col("fp").alias("b"), F.col("h").alias("hb")), "b").join(whole.select(F.col("fp").alias("a"), F.col("h").alias("ha")), "a")
+        return materialize(both.select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long"), name)
+
+    close = materialize(compared(rest.unionByName(heads), stars, threshold), "star-pairs")
+    links = linked(close, "star-links")
+    label = components(links).withColumnRenamed("node", "fp")
+    # blocks of two were settled; others only where they hold different components
+    open_ = met.filter("size > 2").join(label, "fp", "left").withColumn("comp", F.coalesce("component", "fp")).drop("component")
+    mixed = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    open_ = open_.join(mixed.select("key"), "key")
+    pair = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / PART)))
+    open_ = open_.withColumn("other", pair).withColumn("s", F.least("part", "other")).withColumn("t", F.greatest("part", "other"))
+    more = materialize(compared(open_, crossing, threshold).join(close, ["a", "b"], "left_anti"), "crossing-pairs")
+    if more.limit(1).count():
+        also = linked(more, "crossing-links")
+        if also.limit(1).count():
+            label = components(links.unionByName(also)).withColumnRenamed("node", "fp")
     group = node.join(label, "fp", "left").select("fp", "doc", F.coalesce("component", "fp").alias("comp"))
     least = group.groupBy("comp").agg(F.min("doc").alias("component_id"))
     group = group.join(least, "comp").select("fp", "component_id")
