@@ -107,8 +107,8 @@ def test_toxicity(spark):
     assert toxicity.fit(d, spark.createDataFrame([], "doc_id long, toxic int")).score("vile") < 0.3
 
 
-@pytest.mark.parametrize("part", [jaccard.PART, 3])
-def test_jaccard(spark, monkeypatch, part):
+@pytest.mark.parametrize("part,n,threshold", [(jaccard.PART, 4, 85), (3, 4, 85), (3, 5, 80)])
+def test_jaccard(spark, monkeypatch, part, n, threshold):
     monkeypatch.setattr(jaccard, "PART", part)
     rng = np.random.default_rng(2)
     base = [rng.choice(300, 120).astype(str).tolist() for _ in range(12)]
@@ -120,17 +120,17 @@ def test_jaccard(spark, monkeypatch, part):
                 t[i] = "new"
             rows.append((len(rows) * 3, " ".join(t).upper() if c == 1 else " ".join(t)))
     rows += [(1, None), (2, ""), (4, "one two"), (5, "One  two"), (7, "one"), (8, rows[3][1]), (8, rows[3][1])]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs(spark, rows)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs(spark, rows), n, threshold).collect()}
 
     def shingles(t):
         w = (t or "").lower().split()
-        return {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+        return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
     s, up = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
     for _ in range(len(s)):
         for a in s:
             for b in s:
-                if s[a] and s[b] and 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b]):
+                if s[a] and s[b] and 100 * len(s[a] & s[b]) >= threshold * len(s[a] | s[b]):
                     up[a] = up[b] = min(up[a], up[b])
         if all(up[up[a]] == up[a] for a in up):
             break
@@ -138,14 +138,15 @@ def test_jaccard(spark, monkeypatch, part):
     assert jaccard.join(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [80, 85])
 @pytest.mark.parametrize("size", [6, 40, 300, 2000])
-def test_linked_sets_share_a_block(size):
-    rng, bands = np.random.default_rng(size), jaccard.Bands()
+def test_linked_sets_share_a_block(size, threshold):
+    rng, bands = np.random.default_rng(size), jaccard.Bands(threshold)
     for _ in range(30):
         a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
-        cut = int(rng.integers(0, size * 15 // 100 + 1))
+        cut = int(rng.integers(0, size * (100 - threshold) // 100 + 1))
         b = np.unique(a[cut:])
-        if jaccard.verified(a, b):
+        if jaccard.verified(a, b, threshold):
             assert len(np.intersect1d(jaccard.block_keys(a, bands), jaccard.block_keys(b, bands)))
 
 

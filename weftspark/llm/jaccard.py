@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import batched, materialize, tune
 from .components import components
 
-N, THRESHOLD = 4, 85
+#: Words of a shingle, and the least similarity of linked sets in hundredths.
+N, THRESHOLD = 5, 80
 #: Bits of a sketch block; a block's key is the exclusive or of a mix of its set bits.
 BLOCK_BITS = 4096
 #: A band holds sizes up to this many times its least.
