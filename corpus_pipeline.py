@@ -24,13 +24,14 @@ def merge_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    copies = mixing.mix(docs).filter("copies > 0").groupBy("doc_id", "key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    copies = copies.withColumnRenamed("doc_id", "id").withColumnRenamed("key", "id_key")
-    keyed = docs.withColumn("own_key", F.xxhash64("doc_id", "text"))
-    # repeated rows of a document share their copies; one of them stands for all
-    one = F.expr("explode(sequence(1L, copies))")
-    both = keyed.dropDuplicates(["doc_id", "own_key"]).join(copies, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("id_key")))
-    return both.select(*docs.columns, one.alias("copy")).drop("copy")
+    id_, key = F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    # columns of the documents may have any name, so they stay together while others are beside them
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), id_.alias("own_id"), key.alias("own_key"), F.col("source").alias("own_source"))
+    copies = mixing.mix(docs).filter("copies > 0").groupBy("doc_id", "key", "source").agg(F.sum("copies").alias("copies"))
+    # rows that repeat id, text and source share their copies, and one of them stands for all
+    one = whole.dropDuplicates(["own_id", "own_key", "own_source"])
+    both = one.join(copies, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("key")) & F.col("own_source").eqNullSafe(F.col("source")))
+    return both.select("doc", F.expr("explode(sequence(1L, copies))").alias("copy")).select("doc.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
