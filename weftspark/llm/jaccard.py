@@ -5,7 +5,8 @@ symmetric difference, and that is at most (100 - t) (a + b) / (100 + t) for link
 meet in bands of similar size. Within a band the sketch is cut into blocks, more than may differ. Blocks are
 ordered, those of many elements first, as they say most; a set emits one more than may differ, so linked sets
 share one (pigeonhole, as in prefix filtering). Sets that share a block are compared by the Hamming distance of a
-short whole sketch; what passes is verified on the shingles.
+short whole sketch, and where blocks hold several components by that of a longer one, in which fewer differences
+cancel; what passes is verified on the shingles.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .components import components
 N, THRESHOLD = 5, 80
 #: Bits of a sketch block; a block's key is the exclusive or of a mix of its set bits.
 BLOCK_BITS = 4096
+#: Parts of a stored sketch, four bits an allowed difference each; their exclusive or is the short sketch.
+PARTS = 4
 #: A band holds sizes up to this many times its least.
 RATIO = 1.5
 #: Ids that may be sent to every executor; beyond it texts are joined by a shuffle.
@@ -125,7 +128,7 @@ def lists(parts: list[np.ndarray], kind: np.dtype) -> pa.ListArray:
 
 
 def sets(docs: DataFrame, bands: Bands, n: int = N) -> DataFrame:
-    """doc_id, n_shingles, fp (hash of the set, null if empty); block keys and short sketches where a task meets fp first."""
+    """doc_id, n_shingles, fp (hash of the set, null if empty); block keys and sketches where a task meets fp first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
@@ -146,7 +149,7 @@ def sets(docs: DataFrame, bands: Bands, n: int = N) -> DataFrame:
                     keys.append(block_keys(h, bands).view(np.int64))
                     for k, _ in bands.of(len(h)):
                         band.append(k)
-                        bits.append(sketch(h, bands.words(k)))
+                        bits.append(sketch(h, PARTS * bands.words(k)))
                 sketches.append(len(band))
             sk = pa.ListArray.from_arrays(pa.array(sketches, pa.int32()), pa.StructArray.from_arrays([pa.array(band, pa.int32()), lists(bits, np.int64)], ["band", "bits"]))
             yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), lists(keys, np.int64), sk], names=["doc_id", "n_shingles", "fp", "keys", "sk"])
@@ -281,9 +284,13 @@ def join(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, id_col: str =
     keyed = found.filter("keys is not null").select("fp", F.explode("keys").alias("key"))
     met = materialize(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(shared, "key long, fp long, rank long"), "shared-blocks")
     info = found.filter("size(sk) > 0").select("fp", F.col("n_shingles").alias("n"), F.explode("sk").alias("s")).select("fp", "n", "s.*").dropDuplicates(["fp", "band"])
+    words = (F.size("bits") / PARTS).cast("int")
+    folded = F.slice("bits", F.lit(1), words)
+    for i in range(1, PARTS):
+        folded = F.zip_with(folded, F.slice("bits", words * i + 1, words), lambda x, y: x.bitwiseXOR(y))
     sized = met.groupBy("key").agg((F.max("rank") + 1).alias("size"))
-    met = met.withColumn("band", F.col("key").bitwiseAND(127).cast("int")).join(sized, "key").join(info, ["fp", "band"])
-    met = materialize(met.withColumn("part", F.floor(F.col("rank") / PART)).drop("band"), "blocks")
+    met = met.withColumn("band", F.col("key").bitwiseAND(127).cast("int")).join(sized, "key").join(info.withColumn("bits", folded), ["fp", "band"])
+    met = materialize(met.withColumn("part", F.floor(F.col("rank") / PART)), "blocks")
     part = F.col("part").alias("s"), F.col("part").alias("t")
     rest = met.withColumn("comp", F.col("fp")).select("*", *part)
     # the earliest set of a block is compared with every part
@@ -323,7 +330,8 @@ def join(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, id_col: str =
     # blocks of two were settled; others only where they hold different components
     open_ = met.filter("size > 2").join(label, "fp", "left").withColumn("comp", F.coalesce("component", "fp")).drop("component")
     mixed = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    open_ = open_.join(mixed.select("key"), "key")
+    open_ = open_.join(mixed.select("key"), "key").drop("bits")
+    open_ = open_.join(info.select("fp", "band", "bits"), ["fp", "band"])
     pair = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / PART)))
     open_ = open_.withColumn("other", pair).withColumn("s", F.least("part", "other")).withColumn("t", F.greatest("part", "other"))
     more = materialize(compared(open_, crossing, threshold).join(close, ["a", "b"], "left_anti"), "crossing-pairs")
