@@ -75,6 +75,30 @@ def test_mixing(spark):
     assert mixing.mix(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("group", [64, 200])
+def test_sources_of_any_size_meet_their_targets(spark, group):
+    # the hot source has many groups, some have two or three, one has less than one; each has a very long document
+    counts = {"hot": 1500, "three": 3 * group - 5, "two": 2 * group - 3, "one": group - 2, None: 40}
+    rng, rows = np.random.default_rng(6), []
+    for s, n in counts.items():
+        rows += [(len(rows) + i, "w " * int(k), s) for i, k in enumerate(np.append(rng.integers(0, 60, n - 1), 300))]
+    share = dict(zip(counts, (0.83, 1.37, 0.61, 1.45, 0.77)))  # no source is taken a whole number of times
+    own = {s: sum(len(t) // 2 for _, t, of in rows if of == s) for s in counts}
+    weights = [share[s] * own[s] for s in ["hot", "one", "three", "two", None]]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights, group=group).toPandas()
+    assert len(got) == len(rows) and (got.copies <= 3).all()
+    miss = {s: abs(g.taken.sum() - g.target.iloc[0]) for s, g in got.groupby("source", dropna=False)}
+    assert max(miss.values()) <= 1, miss
+
+
+def test_flight_keeps_the_probabilities():
+    size = np.array([400.0, 0, 0, 7, 7, *range(1, 30)])
+    p = np.linspace(0.2, 0.7, len(size))
+    runs = np.array([mixing.flight(p, size, np.random.default_rng(k), 4) for k in range(2000)])
+    assert np.abs(runs.mean(0) - p).max() < 0.05
+    assert np.abs(runs @ size - p @ size).max() < 1e-6 and ((runs > 0) & (runs < 1)).sum(1).max() <= 6
+
+
 def test_segments_equal_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(200):

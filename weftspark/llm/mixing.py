@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Units that one flight takes; each such group leaves at most two undecided.
+#: Units that one flight takes.
 GROUP = 16384
-#: Units that the last flight leaves to the landing, besides its undecided ones.
+#: Units that a flight leaves to the next one or to the landing, besides two that no step settles.
 HOLD = 12
+#: Units that move together in a flight.
+WINDOW = 64
 
 
 def word_count(col: F.Column) -> F.Column:
@@ -48,40 +50,53 @@ def targets(sizes: list[tuple], weights: list[float], limit: float = 3.0) -> dic
 def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, hold: int = 0) -> np.ndarray:
     """Cube flight: inclusion probabilities move in the null space of the balancing constraints.
 
-    Constraints are the expected number of units and of tokens. Three units are moved at a time along the one
-    direction that keeps both sums until one of them is 0 or 1; at the end at most two are undecided, and the
-    last `hold` units, which the flight leaves to the landing.
+    Constraints are the expected number of units and of tokens. Units without tokens are settled among themselves. The
+    others are flown longest first: the longest of a window moves, the shorter ones beside it make up for it a little
+    each, until one of them is 0 or 1. So a long unit is settled while many are left to balance it, and the `hold` + 2
+    units that stay undecided are the shortest.
     """
     p, eps = p.copy(), 1e-9
-    live = [i for i in range(len(p)) if eps < p[i] < 1 - eps]
+    live = np.flatnonzero((p > eps) & (p < 1 - eps))
     draws, at = rng.random(len(live) + 1), 0
-    todo = live[: max(0, len(live) - hold)][::-1]
-    held: list[int] = []
-    x, s = p.tolist(), size.tolist()
-    while True:
-        while len(held) < 3 and todo:
-            held.append(todo.pop())
-        if len(held) < 3:
-            break
-        a, b, c = held
-        u = (s[b] - s[c], s[c] - s[a], s[a] - s[b])
-        if not any(u):
-            u = (1.0, -1.0, 0.0)
-        up = min((1 - x[i]) / d if d > 0 else x[i] / -d for i, d in zip(held, u) if d)
-        down = min(x[i] / d if d > 0 else (1 - x[i]) / -d for i, d in zip(held, u) if d)
-        step = up if draws[at % len(draws)] * (up + down) < down else -down
+
+    def move(i: np.ndarray, d: np.ndarray) -> np.ndarray:
+        nonlocal at
+        x, use = p[i], np.abs(d) > 1e-12
+        up = (np.where(d > 0, 1 - x, x)[use] / np.abs(d[use])).min()
+        down = (np.where(d > 0, x, 1 - x)[use] / np.abs(d[use])).min()
+        x = x + (up if draws[at % len(draws)] * (up + down) < down else -down) * d
         at += 1
-        keep = []
-        for i, d in zip(held, u):
-            x[i] += step * d
-            if x[i] <= eps:
-                x[i] = 0.0
-            elif x[i] >= 1 - eps:
-                x[i] = 1.0
-            else:
-                keep.append(i)
-        held = keep
-    return np.array(x)
+        x[x <= eps], x[x >= 1 - eps] = 0.0, 1.0
+        p[i] = x
+        return i[(x > 0) & (x < 1)]
+
+    empty = live[:0]
+    for i in live[size[live] == 0]:
+        empty = np.append(empty, i)
+        if len(empty) == 2:
+            empty = move(empty, np.array([1.0, -1.0]))
+    todo = live[size[live] > 0]
+    todo = np.concatenate([todo[np.argsort(-size[todo], kind="stable")], empty])
+    held, todo = todo[:WINDOW], todo[WINDOW:]
+    while len(held) + len(todo) > hold + 2:
+        # the first of the window, projected on the directions that keep both sums; units near 0 or 1 move less
+        x, s = p[held], size[held]
+        w = x * (1 - x)
+        far = s - (w @ s) / w.sum()
+        spread = w @ (far * far)
+        tilt = far[0] / spread if spread > 1e-9 * (w @ (s * s)) else 0.0
+        d = -w * w[0] * (1 / w.sum() + tilt * far)
+        d[0] += w[0]
+        if d[0] > 1e-6 * w[0]:
+            d /= np.abs(d).max()
+            held = move(held, d)
+        else:  # nothing balances the first: three that always can move
+            a, b, c = s[:3]
+            u = np.array([b - c, c - a, a - b])
+            held = np.concatenate([move(held[:3], u / np.abs(u).max() if u.any() else np.array([1.0, -1.0, 0.0])), held[3:]])
+        need = WINDOW - len(held)
+        held, todo = np.concatenate([held, todo[:need]]), todo[need:]
+    return p
 
 
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -105,7 +120,8 @@ def mix(docs: DataFrame, weights: tuple = (1, 2, 3), limit: float = 3.0, seed: i
 
     A source's factor is target / own words. Each document is taken floor(factor) times, and once more with
     the fractional part as probability, by the cube method in random groups within the source; groups' few
-    undecided units are flown again together until one group is left, which lands. Documents of size 0, null
+    undecided units are flown again together until the source has one group left, which lands, whatever the other
+    sources have. Documents of size 0, null
     texts and null sources take part; repeated rows are separate units; other columns are ignored. An empty
     table gives no rows. The random draws depend on the seed, source and document only, so reruns agree.
     """
@@ -125,24 +141,23 @@ def mix(docs: DataFrame, weights: tuple = (1, 2, 3), limit: float = 3.0, seed: i
     units = units.join(fact, units.source.eqNullSafe(fact.name)).drop("name")
     names = [c.split()[0] for c in UNITS.split(", ")]
 
-    def fly(last: bool):
-        def one(df: pd.DataFrame) -> pd.DataFrame:
-            df = df.sort_values(["key", "doc_id"], kind="stable")
-            rng = np.random.default_rng([seed, int(df["key"].iloc[0]) & 0xFFFFFFFF, len(df)])
-            size = df["size"].to_numpy(float)
-            p = flight(df["p"].to_numpy(float), size, rng, HOLD if last else 0)
-            return df[names].assign(p=land(p, size) if last else p)
+    hold = min(HOLD, max(0, group // 4 - 1))  # a group settles more than it keeps
 
-        return one
+    def fly(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["key", "doc_id"], kind="stable")
+        last = df["parts"].iloc[0] == 1
+        rng = np.random.default_rng([seed, int(df["key"].iloc[0]) & 0xFFFFFFFF, len(df)])
+        size = df["size"].to_numpy(float)
+        p = flight(df["p"].to_numpy(float), size, rng, HOLD if last else hold)
+        return df[names].assign(p=land(p, size) if last else p)
 
     done, level, parts = None, 0, max((f[-1] for f in facts), default=1)
     while True:
-        last = parts == 1
         units = units.withColumn("part", F.pmod(F.xxhash64("key", F.lit(level)), F.col("parts")))
-        flown = materialize(units.groupBy("source", "part").applyInPandas(fly(last), UNITS), "mix-flown")
-        settled = flown if last else flown.filter("p = 0 or p = 1")
+        flown = materialize(units.groupBy("source", "part").applyInPandas(fly, UNITS), "mix-flown")
+        settled = flown.filter("p = 0 or p = 1")
         done = settled if done is None else done.unionByName(settled)
-        if last:
+        if parts == 1:  # the largest number of groups of a source: all have landed
             break
         open_ = flown.filter("p > 0 and p < 1")
         n = open_.groupBy("source").agg(F.ceil(F.count("*") / group).alias("parts"))
