@@ -239,3 +239,29 @@ def test_html(spark):
     rows = [(1, "http://h/a/1", page), (2, "http://k/b/1", bare("first")), (3, "http://k/b/2", bare("second")), (4, "http://k/z", bare("third")), (5, None, None), (6, "http://solo/", bare("alone"))]
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: "Head & tail\n\nOne two three\n\nfour", 2: "first", 3: "second", 4: "third", 5: "", 6: "Site name\n\nalone\n\nShared end"}
+
+
+@pytest.mark.parametrize("span", [html_text.RANGE, 1])
+def test_html_copies_meet_a_page_that_differs(spark, monkeypatch, span):
+    monkeypatch.setattr(html_text, "RANGE", span)  # with ranges of a page or two, runs of copies fill whole ranges
+    bare = lambda own: f"<body><div>Site name</div><p>{own}</p><div>Shared end</div></body>"
+    rows, want = [], {}
+
+    def add(host, path, own, text):
+        rows.append((len(rows), f"http://{host}/{path}", bare(own)))
+        want[len(rows) - 1] = text
+
+    add("a", "first", "one", "one")
+    for k in range(40):
+        add("a", f"story?copy={k:02}", "told", "told")
+    add("a", "third", "two", "two")
+    for k in range(3):
+        add("b", f"only?copy={k}", "alone", "Site name\n\nalone\n\nShared end")
+    for k in range(20):
+        add("c", f"mirror/{k:02}", "twice", "twice")
+    add("c", "z", "last", "last")
+    add("d", "a", "start", "start")
+    for k in range(20):
+        add("d", f"mirror/{k:02}", "again", "again")
+    pages = spark.createDataFrame([rows[i] for i in np.random.default_rng(1).permutation(len(rows))], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == want

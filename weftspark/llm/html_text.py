@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as htmllib
 import re
 from bisect import bisect_left, bisect_right
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, tune
+from .common import BATCH_ROWS, partitions, tune
 from .urlgraph import host_path
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|<", re.S)
@@ -180,11 +181,12 @@ RANGE, SAMPLE = 64, 64
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every row.
 
-    Pages are dealt by ranges of (host, path, url, id), so a host of any size is split; the first and the last page of
-    each range also go to the ranges beside it, so that every page meets its neighbours whatever the ranges are. Of
-    the two neighbours on its host the one whose path shares the longer beginning is the nearest (ties: the earlier);
-    a page with the same lines is no guide and deletes nothing. Null html gives an empty text; a null url counts as empty;
-    repeated rows each give a row; other columns are ignored.
+    Pages are dealt by ranges of (host, path, url, id), so a host of any size is split. A page with the same lines is no
+    guide: consecutive pages of a host with equal lines are a run, and its pages meet the last page of the run before
+    and the first page of the run after. Where such a page lies in another range, however far, a copy of it goes to the
+    run's range; a first pass over the pages' digests finds these, at most two a range. Of the two, the page whose path
+    shares the longer beginning is the nearest (ties: the earlier). Null html gives an empty text; a null url counts as
+    empty; repeated rows each give a row; other columns are ignored.
     """
     spark = pages.sparkSession
     tune(spark)
@@ -196,63 +198,123 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     parts = max(1, min(4 * partitions(spark), n // RANGE))
     sample = sorted(_key(r) for r in keys.sample(min(1.0, SAMPLE * parts / max(n, 1)), seed=5).collect())  # bounded by the number of ranges
     splits = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
+    whole = ["part", "host", "path", F.coalesce("url", F.lit("")), F.coalesce("page_id", F.lit(-1)), "mark"]
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def brief(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.append_column("part", pa.array([bisect_right(splits, _key(r)) for r in zip(*(b.column(c).to_pylist() for c in order))], pa.int32()))
+            out = []
+            for page, url, text, h, p in zip(*(b.column(i).to_pylist() for i in range(5))):
+                out.append((bisect_right(splits, _key((h, p, url, page))), h, p, url, page, _mark(blocks(text)[0])))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), BRIEF_KINDS)], names=BRIEF)
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each range the first page, the first page after its run, the last page, and the last page before its run."""
+        part, seen = None, []
+        last = before = None  # the last page so far, and the last page of the run before it
+
+        def give():
+            tail = [(2, last)] + ([(3, before)] if before else [])
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*((k, *x) for k, x in seen + tail)), (pa.int32(), *BRIEF_KINDS))], names=["kind", *BRIEF])
 
-    dealt = keys.mapInArrow(deal, "host string, path string, url string, page_id long, part int")
-    whole = F.struct(*order)
-    ends = {r.part: (_key(r.lo), _key(r.hi)) for r in dealt.groupBy("part").agg(F.min(whole).alias("lo"), F.max(whole).alias("hi")).collect()}  # one row a range
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in BRIEF)):
+                if row[0] != part:
+                    if part is not None:
+                        yield give()
+                    part, seen, last, before, open_ = row[0], [(0, row)], None, None, True
+                elif open_ and (row[1], row[5]) != (last[1], last[5]):
+                    open_ = False
+                    if row[1] == last[1]:
+                        seen.append((1, row))
+                if last is not None and (row[1], row[5]) != (last[1], last[5]):
+                    before = last if row[1] == last[1] else None
+                last = row
+        if part is not None:
+            yield give()
+
+    briefs = rows.mapInArrow(brief, "part int, host string, path string, url string, page_id long, mark binary")
+    briefs = briefs.repartition("part").sortWithinPartitions(*whole)
+    ends: dict[int, dict[int, tuple]] = {}  # four rows a range at most
+    for r in briefs.mapInArrow(edges, "kind int, part int, host string, path string, url string, page_id long, mark binary").collect():
+        ends.setdefault(r.part, {})[r.kind] = (_key((r.host, r.path, r.url, r.page_id)), bytes(r.mark))
+    also: dict[tuple, list[int]] = {}  # the pages that go to further ranges
     filled = sorted(ends)
-    after = dict(zip(filled, filled[1:]))
-    before = {b: a for a, b in after.items()}
+    for k, part in enumerate(filled):
+        for own, near, far, others in ((0, 2, 3, filled[:k][::-1]), (2, 0, 1, filled[k + 1 :])):
+            key, mark = ends[part][own]
+            for other in others:
+                e = ends[other]
+                if e[near][0][0] != key[0]:
+                    break
+                guide = e[near] if e[near][1] != mark else e.get(far)
+                if guide:
+                    also.setdefault(guide, []).append(part)
+                if guide or e[own][0][0] != key[0]:
+                    break
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for page, url, text, h, p in zip(*(b.column(i).to_pylist() for i in range(5))):
                 lines, zones = blocks(text)
-                key = _key((h, p, url, page))
-                part = bisect_right(splits, key)
-                lo, hi = ends[part]
-                out.append((part, False, h, p, url, page, lines, zones))
-                if key == hi and part in after:
-                    out.append((after[part], True, h, p, url, page, lines, zones))
-                if key == lo and part in before:
-                    out.append((before[part], True, h, p, url, page, lines, zones))
+                key, mark = _key((h, p, url, page)), _mark(lines)
+                out.append((bisect_right(splits, key), False, h, p, url, page, mark, lines, zones))
+                out += [(part, True, *out[-1][2:]) for part in also.get((key, mark), ())]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), KINDS)], names=NAMES)
 
-    laid = rows.mapInArrow(parse, "part int, halo boolean, host string, path string, url string, page_id long, lines array<string>, zones string")
-    laid = laid.repartition("part").sortWithinPartitions("part", "host", "path", F.coalesce("url", F.lit("")), F.coalesce("page_id", F.lit(-1)))
+    laid = rows.mapInArrow(parse, "part int, halo boolean, host string, path string, url string, page_id long, mark binary, lines array<string>, zones string")
+    laid = laid.repartition("part").sortWithinPartitions(*whole)
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pick(left, me, right):
-            near = [x for x in (left, right) if x is not None and x[0] == me[0] and x[2] == me[2]]
-            best = max(near, key=lambda x: _shared_start(x[3], me[3]), default=None)
-            return (me[5], me[4], main_text(me[6], me[7], best and best[6]))
-
         def give(out):
             texts = [t for *_, t in out]
             return pa.record_batch({"page_id": pa.array([r[0] for r in out], pa.int64()), "url": pa.array([r[1] for r in out], pa.string()), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-        left = me = None
-        for b in batches:
-            out = []
-            for row in zip(*(b.column(c).to_pylist() for c in NAMES)):
-                if me is not None and not me[1]:
-                    out.append(pick(left, me, row))
-                left, me = me, row
+        def settle(left, run, right):
+            """The texts of a run's pages by (path, lines) of the pages beside it, in batches."""
+            lines, members = run[1], run[2]
+            near, made, out, held = [x for x in (left, right) if x is not None], {}, [], 0
+            for halo, path, url, page, zones in members:
+                if halo:
+                    continue
+                best = max(near, key=lambda x: _shared_start(x[0], path), default=None)
+                at = zones, best is right
+                if at not in made:
+                    made[at] = main_text(lines, zones, best and best[1])
+                out.append((page, url, made[at]))
+                held += len(made[at])
+                if len(out) >= BATCH_ROWS or held > 1 << 24:
+                    yield give(out)
+                    out, held = [], 0
             if out:
                 yield give(out)
-        if me is not None and not me[1]:
-            yield give([pick(left, me, None)])
+
+        left = run = None  # (path, lines) of the page before the run; the run's tag, lines and pages
+        for b in batches:
+            for part, halo, host, path, url, page, mark, lines, zones in zip(*(b.column(c).to_pylist() for c in NAMES)):
+                tag = part, host, mark
+                if run is None or run[0] != tag:
+                    same = run is not None and run[0][:2] == tag[:2]
+                    if run is not None:
+                        yield from settle(left, run, (path, lines) if same else None)
+                    left = (run[2][-1][1], run[1]) if same else None
+                    run = tag, lines, []
+                run[2].append((halo, path, url, page, zones))
+        if run is not None:
+            yield from settle(left, run, None)
 
     return laid.mapInArrow(difference, "page_id long, url string, text string, n_chars long")
 
 
-NAMES = ["part", "halo", "host", "path", "url", "page_id", "lines", "zones"]
-KINDS = (pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.string())
+NAMES = ["part", "halo", "host", "path", "url", "page_id", "mark", "lines", "zones"]
+KINDS = (pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.string())
+BRIEF = ["part", "host", "path", "url", "page_id", "mark"]
+BRIEF_KINDS = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary())
+
+
+def _mark(lines: list[str]) -> bytes:
+    """A digest of the lines, which hold no line ends."""
+    return hashlib.blake2b("\n".join(lines).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def _key(r) -> tuple:
