@@ -233,6 +233,26 @@ def test_damage_costs_one_record(pack):
         assert len(gap) == 1 and gap[0].begin == sum(map(len, records[:broken])) and gap[0].end - gap[0].begin == len(bad)
 
 
+def test_long_urls_keep_their_records(spark):
+    urls = {i: "http://x/" + "u" * n for i, n in enumerate((10, 65_000, 100_000, 1_000_000))}
+    a = warc.write(spark.createDataFrame([(i, u, f"page {i}") for i, u in urls.items()], "page_id long, url string, html string"))
+    got = {r.page_id: (r.url, bytes(r.payload)) for r in warc.read(a).filter("reason is null").collect()}
+    assert got == {i: (u, b"page %d" % i) for i, u in urls.items()}
+
+
+@pytest.mark.parametrize("length", [100_000, 1_000_000])
+@pytest.mark.parametrize("pack", [warc.member, bytes])
+def test_long_headers_are_read(pack, length):
+    data = b"".join(pack(warc.record(i, "http://x/" + "u" * (length if i % 2 else 9), b"payload %d" % i)) for i in range(5))
+
+    class File(io.BytesIO):
+        def size(self):
+            return len(data)
+
+    found = list(warc.salvage(File(data)))
+    assert [(f.reason, f.head and f.head["x-page-id"]) for f in found] == [("", str(i)) for i in range(5)]
+
+
 def test_html(spark):
     page = "<html><head><title>T</title><script>'</p>'</script></head><body><nav><a href=x>menu</a></nav><div class='ad'>buy</div><article><h1>Head &amp; tail</h1><p>One<br>two  <b>three<p>four<aside>side</aside><div id='comments'><p>reader</p></div><form>f</form></article><footer>foot</footer>"
     bare = lambda own: f"<body><div>Site name</div><p>{own}</p><div>Shared end</div></body>"

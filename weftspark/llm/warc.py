@@ -18,8 +18,6 @@ from .common import filesystem, materialize, scratch, tune
 
 CHUNK = 1 << 16
 MAGIC, VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/\d\.\d\r?\n")
-#: A record's header block is shorter than this.
-HEAD = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -65,7 +63,7 @@ def _parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
     m = VERSION.match(data)
     if not m:
         raise ValueError("no version line")
-    cut = data.find(b"\r\n\r\n", 0, HEAD)
+    cut = data.find(b"\r\n\r\n")
     if cut < 0:
         raise ValueError("header without end")
     head = {}
@@ -123,7 +121,7 @@ def _plain_at(src: Source, begin: int) -> tuple[dict[str, str], bytes, int]:
             head, block, length = _parse(data)
             return head, block, begin + length
         except (EOFError, ValueError) as e:
-            short = isinstance(e, EOFError) or str(e) == "record without end mark" and len(data) == n or str(e) == "header without end" and n < HEAD
+            short = isinstance(e, EOFError) or str(e) == "record without end mark" and len(data) == n or str(e) == "header without end"
             if not short or begin + n >= src.size:
                 raise
             n *= 4
