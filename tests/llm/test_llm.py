@@ -208,6 +208,17 @@ def test_url_graph(spark):
     assert got[3].trust > 0 and got[4].distrust > 0
 
 
+def test_url_graph_follows_long_chains(spark):
+    link = lambda to: f'<a href="https://{to}/">x</a>'
+    chain = lambda name, n: [(f"https://{name}{i}.test/", link(f"{name}{i + 1}.test") if i < n else "") for i in range(n + 1)]
+    rows = [("https://good.net/de/1", link("g0.test")), *chain("g", 14), *chain("b", 14), ("https://b15.test/", link("bad.com")), ("https://bad.com/en/1", "")]
+    rows[-3] = (rows[-3][0], link("b15.test"))
+    got = {r.host: r for r in urlgraph.judge(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")).collect()}
+    assert all(got[f"g{i}.test"].trust > 0 and got[f"g{i}.test"].verdict == "allow" for i in range(15))
+    assert all(got[f"b{i}.test"].distrust > 0 and got[f"b{i}.test"].verdict == "block" for i in range(16))
+    assert got["g14.test"].trust == pytest.approx(0.15 * 0.85**15)
+
+
 def test_warc_salvage(spark):
     rows = [(i, f"http://x/{i}", h) for i, h in enumerate(["<p>a</p>", None, "é" * 50000, "<p>a</p>", "", "b"])]
     a = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-DAMPING, ROUNDS = 0.85, 12
+DAMPING = 0.85
+#: A rank ends when a round changes its scores by no more than this in sum, and reaches no further host.
+TOLERANCE = 1e-9
 #: Distrust may be this many times the trust before a host is blocked.
 RATIO = 1.0
 
@@ -54,21 +56,28 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.select("src", to.alias("dst")).filter("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, score): PageRank that restarts at the seeds (host, mass; the masses add up to 1).
 
     A host passes its score on by its links' counts; what hosts without links hold restarts with the rest, implicitly:
-    scores are compared with each other, so that factor cancels. Contributions are summed before the shuffle.
+    scores are compared with each other, so that factor cancels. Contributions are summed before the shuffle. Rounds go
+    on until the scores stand still and every host that the seeds' links lead to has one.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     e = materialize(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w")), "host-edges")
     start = seeds.select("host", ((1 - damping) * F.col("mass")).alias("score"))
     if not e.limit(1).count():
         return start
-    score = start
-    for _ in range(rounds):
+    score, reached = start, -1
+    while True:
         sent = score.join(e, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (damping * F.col("score") * F.col("w")).alias("score"))
+        old = score.select("host", (-F.col("score")).alias("score"))
         score = materialize(sent.unionByName(start).groupBy("host").agg(F.sum("score").alias("score")), "host-score")
+        moved = score.unionByName(old).groupBy("host").agg(F.abs(F.sum("score")).alias("by"))
+        change, hosts = moved.agg(F.sum("by"), F.count("*")).first()
+        if (change or 0) <= tolerance and hosts == reached:
+            break
+        reached = hosts
     return score
 
 
