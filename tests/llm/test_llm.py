@@ -264,6 +264,27 @@ def test_long_headers_are_read(pack, length):
     assert [(f.reason, f.head and f.head["x-page-id"]) for f in found] == [("", str(i)) for i in range(5)]
 
 
+def test_a_member_may_hold_many_records():
+    records = [warc.record(i, f"http://x/{i}", b"payload %d" % i * 2000) for i in range(6)]
+    for broken in (None, *range(6)):
+        parts = list(map(bytearray, records))
+        if broken is not None:
+            parts[broken][-100] ^= 255
+        data = warc.member(b"".join(parts[:5])) + warc.member(bytes(parts[5]))
+
+        class File(io.BytesIO):
+            def size(self):
+                return len(data)
+
+        found = list(warc.salvage(File(data)))
+        assert [int(f.head["x-page-id"]) for f in found if f.head] == [i for i in range(6) if i != broken]
+        gaps = [f.reason for f in found if f.reason]
+        assert len(gaps) == (broken is not None)
+        if broken is not None and broken < 5:
+            begin = sum(map(len, records[:broken]))
+            assert gaps == [f"block digest differs (bytes {begin} to {begin + len(records[broken])} of the member)"]
+
+
 def test_html(spark):
     page = "<html><head><title>T</title><script>'</p>'</script></head><body><nav><a href=x>menu</a></nav><div class='ad'>buy</div><article><h1>Head &amp; tail</h1><p>One<br>two  <b>three<p>four<aside>side</aside><div id='comments'><p>reader</p></div><form>f</form></article><footer>foot</footer>"
     bare = lambda own: f"<body><div>Site name</div><p>{own}</p><div>Shared end</div></body>"

@@ -58,12 +58,12 @@ class Found:
     reason: str = ""
 
 
-def _parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Header fields, block and length of the record that data begins with; ValueError with the failed check."""
-    m = VERSION.match(data)
+def _parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """Header fields, block and end of the record at a position of data; ValueError with the failed check."""
+    m = VERSION.match(data, at)
     if not m:
         raise ValueError("no version line")
-    cut = data.find(b"\r\n\r\n")
+    cut = data.find(b"\r\n\r\n", at)
     if cut < 0:
         raise ValueError("header without end")
     head = {}
@@ -127,6 +127,30 @@ def _plain_at(src: Source, begin: int) -> tuple[dict[str, str], bytes, int]:
             n *= 4
 
 
+def _inside(data: bytes, begin: int, end: int) -> list[Found]:
+    """Records of a member's bytes, and what lies between them as gaps; the first failed check if no record is valid."""
+    out, at, gap, first = [], 0, None, None
+    while at < len(data):
+        try:
+            head, block, after = _parse(data, at)
+        except (ValueError, EOFError) as e:
+            if gap is None:
+                gap, first = (at, str(e)), first or e
+            m = VERSION.search(data, at + 1)
+            at = m.start() if m else len(data)
+            continue
+        if gap is not None:
+            out.append(Found(begin, end, reason=f"{gap[1]} (bytes {gap[0]} to {at} of the member)"))
+            gap = None
+        out.append(Found(begin, end, head, block))
+        at = after
+    if not any(f.head for f in out):
+        raise first or EOFError("member is empty")
+    if gap is not None:
+        out.append(Found(begin, end, reason=f"{gap[1]} (bytes {gap[0]} to {len(data)} of the member)"))
+    return out
+
+
 def _next(src: Source, begin: int) -> int:
     """The next position at which a gzip member or a version line may begin; the file's size if there is none."""
     at = begin
@@ -146,7 +170,8 @@ def salvage(file) -> Iterator[Found]:
     """Records of an archive, compressed by member or not; after a failed check, those from the next valid start.
 
     A candidate start counts as valid only if the whole record there passes all checks (version line, header, length, end mark,
-    gzip checksum, block digest); what lies before it becomes one gap with the reason of the first failure.
+    gzip checksum, block digest); what lies before it becomes one gap with the reason of the first failure. A gzip member may
+    hold any number of records: all have its position, and so have gaps within it, whose reasons name the damaged bytes.
     """
     src = Source(file)
     at, gap, why = 0, None, ""
@@ -154,11 +179,10 @@ def salvage(file) -> Iterator[Found]:
         try:
             if src.read(at, 3) == MAGIC:
                 data, end = _member_at(src, at)
-                head, block, used = _parse(data)
-                if used != len(data):
-                    raise ValueError("bytes after the record in its member")
+                found = _inside(data, at, end)
             else:
                 head, block, end = _plain_at(src, at)
+                found = [Found(at, end, head, block)]
         except (zlib.error, ValueError, EOFError) as e:
             if gap is None:
                 gap, why = at, str(e)
@@ -167,7 +191,7 @@ def salvage(file) -> Iterator[Found]:
         if gap is not None:
             yield Found(gap, at, reason=why)
             gap = None
-        yield Found(at, end, head, block)
+        yield from found
         at = end
     if gap is not None:
         yield Found(gap, src.size, reason=why)
