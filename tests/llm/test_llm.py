@@ -64,6 +64,13 @@ def test_local_search_empties_a_bin():
     assert max(lengths[b].sum() for b in bins) <= 10
 
 
+def test_local_search_tries_every_giver():
+    lengths = np.random.default_rng(700).integers(300, 1000, 400)
+    bins = packing.local_search(packing.best_fit(lengths), lengths)
+    assert sorted(i for b in bins for i in b) == list(range(400)) and max(lengths[b].sum() for b in bins) <= packing.CAPACITY
+    assert len(bins) <= 130
+
+
 def test_mixing(spark):
     t = mixing.targets([("a", 100), ("b", 10), (None, 50)], [1, 2, 3])
     assert t["b"] == 30 and abs(sum(t.values()) - 160) < 1e-9 and t[None] <= 150

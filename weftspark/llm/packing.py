@@ -50,7 +50,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAP
     The emptiest bins give in turn: an item moves to the fullest bin with room for it, or it, or two of its items
     together, are exchanged for a shorter item of another bin. Each step moves tokens from the emptier to the
     fuller bin, so the sum of squared fills rises and the search ends. It stops at the bound that the total
-    length sets, or when no step is left.
+    length sets, or when every underfull bin has given once and nothing moved.
     """
     full = [b for b in bins if int(lengths[b].sum()) == capacity]
     rest = [b for b in bins if int(lengths[b].sum()) < capacity]
@@ -59,7 +59,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAP
     squares = lambda all_: sum(int(lengths[b].sum()) ** 2 for b in all_)
     before = -1
     while len(rest) + len(done) > max(least, 1):
-        if len(rest) < 2 or len(done) > 8:  # one more pass if the last one moved anything
+        if len(rest) < 2:  # all have given: one more pass if this one moved anything
             rest, done = rest + done, []
             if squares(rest) <= before:
                 break
@@ -85,8 +85,16 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAP
             if changed:
                 continue
             held = int(lengths[giver].sum())
-            offers = [(i,) for i in giver] + [(i, j) for k, i in enumerate(giver[:40]) for j in giver[k + 1 : 40]]
-            for offer in sorted(offers, key=lambda o: -int(lengths[list(o)].sum())):
+            offers: dict[int, tuple] = {}  # one of each total: equal totals allow the same exchanges
+            one = {}
+            for i in giver:
+                one.setdefault(int(lengths[i]), []).append(i)
+            for x, a in one.items():
+                offers.setdefault(x, (a[0],))
+                for y, b in one.items():
+                    if x < y or x == y and len(a) > 1:
+                        offers.setdefault(x + y, (a[0], b[0] if x < y else a[1]))
+            for _, offer in sorted(offers.items(), reverse=True):
                 n = int(lengths[list(offer)].sum())
                 gain = n - size
                 good = np.flatnonzero((gain > 0) & (gain <= capacity - fill[home]) & (fill[home] + gain > held))
