@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch holds; long texts make larger batches heavy.
-BATCH_ROWS = 1024
+#: Rows and bytes an Arrow batch holds; long texts make larger batches heavy.
+BATCH_ROWS, BATCH_BYTES = 1024, 1 << 24
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,28 +22,75 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Lower the session's Arrow batches to what whole texts allow; smaller settings stay.
+
+    Spark reads these settings when a plan runs, which for an operator's result is after the operator has
+    returned; so they are left lowered. What an operator runs itself uses `arrow_batches`.
+    """
+    for key, most in _BATCHES.items():
+        if _number(spark.conf.get(key)) > most:
+            spark.conf.set(key, str(most))
+
+
+def _number(value: str) -> int:
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    digits = value.lower().rstrip("b") if value[-1:].lower() == "b" and value[-2:-1].isalpha() else value.lower()
+    return int(digits[:-1]) * units[digits[-1]] if digits[-1:] in units else int(digits)
+
+
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession):
+    """Small Arrow batches for what runs inside; the session's settings come back afterwards."""
+    before = {key: spark.conf.get(key) for key in _BATCHES}
+    tune(spark)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+_own_scratch: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the storage that driver and executors share (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in tests, a temporary local folder is used.
+    Where that is unset, a session of one process (master local) gets a temporary folder, as in tests; on a cluster,
+    whose executors could not see such a folder, it is an error.
     """
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir") or os.environ.get("WEFTSPARK_SCRATCH")
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = os.environ["WEFTSPARK_SCRATCH"] = tempfile.mkdtemp(prefix="weftspark-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if "base" not in _own_scratch:
+            folder = tempfile.TemporaryDirectory(prefix="weftspark-", ignore_cleanup_errors=True)  # goes with the process
+            _own_scratch["base"], _own_scratch["keep"] = folder.name, folder
+        base = _own_scratch["base"]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to shared storage and read it again: the lineage ends here, and a lost executor loses no rows."""
+    """Write df to shared storage and read it again: the lineage ends here, and a lost executor loses no rows.
+
+    `release` deletes it when nothing reads it any more; what results still read stays in the shared folder.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    with arrow_batches(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete materialized rows that no later result reads."""
+    for df in frames:
+        if path := getattr(df, "kept_at", None):
+            hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -85,6 +134,6 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def crc_fold(column) -> F.Column:
+def crc_fold(column: Column) -> Column:
     """crc32 of the id as text, mod 4; 2 is the held-out fold."""
     return F.crc32(column.cast("string").cast("binary")) % 4

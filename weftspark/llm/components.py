@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -13,20 +13,24 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
     Every step rewrites edges to point at smaller nodes: a node's larger neighbours to its smallest one, then its
     smaller neighbours to the smallest. Minima are combined before the shuffle, so a node with very many edges
-    costs one row for each task; each step is written to shared storage. Loops and nulls are dropped.
+    costs one row for each task; its rows in the joins are split by adaptive execution. Each step is written to shared
+    storage. It ends when no node that others point at points at a further one, and raises an error if that has
+    not come after `rounds` steps (they grow with the logarithm of the nodes). Loops and nulls are dropped.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v and v is not null").distinct()
     e = materialize(e, "edges")
-    before = None
     for _ in range(rounds):
+        # stars only: no node that edges point at has an edge of its own, and no node has two
+        ends = e.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        if not ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out > 1 or (out > 0 and into > 0)").limit(1).count():
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u > v").distinct()
-        e = materialize(small, "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+        before, e = e, materialize(small, "edges")
+        release(before)
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} steps")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
