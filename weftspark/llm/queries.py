@@ -50,7 +50,7 @@ def op9_vector_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = topk.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumn("x", F.transform("x", lambda c: F.floor(256 * c).cast("double")))
+    v = topk.quantised(topk.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
     return topk.top_k(v, v.filter("vec_id % 50 = 0"), 5)
 
 
