@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from .common import materialize, partitions, release, tune
 from .components import components
 
-#: Vectors of one bucket that a task compares with each other; a larger bucket is dealt in chunks.
-CHUNK = 1024
+#: Vectors of one bucket that a task compares with each other; a larger bucket is dealt in chunks of a sixteenth, of this
+#: many vectors at least and CHUNK_MOST at most.
+CHUNK, CHUNK_MOST = 128, 4096
 #: Width of the confidence bound, in standard deviations of the estimate.
 WIDTH = 4.0
 #: Chance that a pair at exactly the threshold meets in no band.
@@ -261,7 +262,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
                 yield pa.record_batch({"key": pa.array(keys(b.column("lab").to_numpy()[at], c, code).ravel()), "row": binaries(out.ravel())})
 
     large = points.select("lab", "code").mapInArrow(count, "key long").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > chunk)
-    large = materialize(large.select("key", F.ceil(F.col("n") / chunk).cast("int").alias("parts")), "large-buckets")
+    size = F.greatest(F.lit(chunk), F.least(F.col("n") / 16, F.lit(CHUNK_MOST)))
+    large = materialize(large.select("key", F.ceil(F.col("n") / size).cast("int").alias("parts")), "large-buckets")
     met = points.select("id", "lab", "code").mapInArrow(emit, "key long, row binary").join(large, "key", "left")
     # chunk k of a large bucket meets every chunk: the lower one of two is side 0
     part = F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1))).cast("int")
