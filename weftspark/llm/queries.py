@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import html_text, jaccard, mixing, neardup_vectors, packing, token_files, topk, toxicity, urlgraph, warc
-from .common import table
+from .common import materialize, table
 from .wordpieces import tokenizer_path
 
 
@@ -15,7 +14,10 @@ def op1_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.read(warc.write(table(spark, sf_dir, "pages")), payloads=False)
+    archives = warc.write(table(spark, sf_dir, "pages"))
+    found = materialize(warc.read(archives, payloads=False), "warc-records")
+    warc.discard(archives)
+    warc.quarantine(found)
     return found.filter("reason is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 import re
 import uuid
 import zlib
@@ -14,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialize, scratch, tune
+from .common import filesystem, materialize, release, scratch, tune
 
 CHUNK = 1 << 16
+#: Decompressed bytes of a member that are held; bytes from which a writer begins another archive.
+WINDOW, ARCHIVE = 1 << 24, 1 << 27
 MAGIC, VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/\d\.\d\r?\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -58,105 +61,147 @@ class Found:
     reason: str = ""
 
 
-def _parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """Header fields, block and end of the record at a position of data; ValueError with the failed check."""
-    m = VERSION.match(data, at)
-    if not m:
+class Source:
+    """Bytes of a file by position, read in chunks; only what was asked for last is kept."""
+
+    def __init__(self, file):
+        self.file, self.size, self.at, self.held = file, file.size(), 0, b""
+
+    def read(self, begin: int, n: int) -> bytes:
+        if not (self.at <= begin and begin + n <= self.at + len(self.held)):
+            self.file.seek(begin)
+            self.at, self.held = begin, self.file.read(max(n, 4 * CHUNK))
+        return self.held[begin - self.at : begin - self.at + n]
+
+
+class Bytes:
+    """The same for bytes in memory."""
+
+    def __init__(self, data: bytes):
+        self.data, self.size, self.keep = data, len(data), 0
+
+    def read(self, begin: int, n: int) -> bytes:
+        return self.data[begin : begin + n]
+
+
+class Member:
+    """The decompressed bytes of a gzip member as a source. What lies before `keep` is forgotten; to come back to it the
+    member is decompressed again from its start."""
+
+    def __init__(self, src: Source, begin: int, size: int):
+        self.src, self.begin, self.size, self.keep = src, begin, size, 0
+        self._start()
+
+    def _start(self) -> None:
+        self.z, self.next, self.at, self.held = zlib.decompressobj(31), self.begin, 0, bytearray()
+
+    def read(self, begin: int, n: int) -> bytes:
+        if begin < self.at:
+            self._start()
+        while self.at + len(self.held) < begin + n and not self.z.eof:
+            raw = self.z.unconsumed_tail
+            if not raw:
+                raw = self.src.read(self.next, CHUNK)
+                self.next += len(raw)
+            self.held += self.z.decompress(raw, WINDOW)
+            behind = min(self.keep, begin) - self.at
+            if behind > WINDOW:
+                behind = min(behind, len(self.held))
+                del self.held[:behind]
+                self.at += behind
+        return bytes(self.held[begin - self.at : begin - self.at + n])
+
+
+def _record_at(src: Source | Bytes, begin: int) -> tuple[dict[str, str], bytes, int]:
+    """Header fields, block and end of the record at a position; ValueError or EOFError with the failed check.
+
+    The end mark is looked up where the content length puts it before the block is read, so a false length costs a
+    few bytes, and no more than the record itself is held. Within a compressed member, where looking ahead is reading, that
+    is done for blocks of more than a few windows only.
+    """
+    if not VERSION.match(src.read(begin, 16)):
         raise ValueError("no version line")
-    cut = data.find(b"\r\n\r\n", at)
-    if cut < 0:
-        raise ValueError("header without end")
+    n = 4 * CHUNK
+    while (cut := (data := src.read(begin, n)).find(b"\r\n\r\n")) < 0:
+        if begin + n >= src.size:
+            raise ValueError("header without end")
+        n *= 4
     head = {}
-    for line in data[m.end() : cut].split(b"\r\n"):
+    for line in data[VERSION.match(data).end() : cut].split(b"\r\n"):
         k, sep, v = line.partition(b":")
         if not sep:
             raise ValueError("header line without colon")
         head[k.decode("latin-1").strip().lower()] = v.decode("utf-8", "replace").strip()
-    if not re.fullmatch(r"\d+", head.get("content-length", "")):
+    if not re.fullmatch(r"\d{1,18}", head.get("content-length", "")):
         raise ValueError("no content length")
-    n = int(head["content-length"])
-    block = data[cut + 4 : cut + 4 + n]
-    if len(block) < n:
+    first, n = begin + cut + 4, int(head["content-length"])
+    if first + n > src.size:
         raise EOFError("record ends early")
-    if data[cut + 4 + n : cut + 8 + n] != b"\r\n\r\n":
+    if (not isinstance(src, Member) or n > 4 * WINDOW) and src.read(first + n, 4) != b"\r\n\r\n":
         raise ValueError("record without end mark")
+    block = src.read(first, n + 4)
+    if block[n:] != b"\r\n\r\n":
+        raise ValueError("record without end mark")
+    block = block[:n]
     want = head.get("warc-block-digest", "")
     if want.startswith("sha1:") and want[5:].upper() != digest(block):
         raise ValueError("block digest differs")
-    return head, block, cut + 8 + n
+    return head, block, first + n + 4
 
 
-class Source:
-    """Bytes of a file by position, read in chunks and kept for the current record only."""
+def _member_at(src: Source, begin: int) -> tuple[Bytes | Member, int]:
+    """The gzip member at a position as a source of its decompressed bytes, and where it ends; its checksum holds.
 
-    def __init__(self, file):
-        self.file, self.size, self.at, self.held = file, file.size(), 0, b""
-
-    def read(self, begin: int, n: int) -> bytes:
-        if not (self.at <= begin and begin + n <= self.at + len(self.held)):
-            self.file.seek(begin)
-            self.at, self.held = begin, self.file.read(max(n, 4 * CHUNK))
-        return self.held[begin - self.at : begin - self.at + n]
-
-
-def _member_at(src: Source, begin: int) -> tuple[bytes, int]:
-    """The decompressed gzip member at a position and where it ends."""
-    z, out, at = zlib.decompressobj(31), [], begin
+    Members of up to WINDOW bytes are held; of larger ones, as of archives compressed as a whole, a window.
+    """
+    z, held, n, at = zlib.decompressobj(31), [], 0, begin
     while not z.eof:
         raw = src.read(at, CHUNK)
         if not raw:
             raise EOFError("member ends early")
-        out.append(z.decompress(raw))
         at += len(raw)
-        if sum(map(len, out[:1])) >= 5 and not out[0].startswith(b"WARC/"):
-            raise ValueError("member holds no record")
-    return b"".join(out), at - len(z.unused_data)
-
-
-def _plain_at(src: Source, begin: int) -> tuple[dict[str, str], bytes, int]:
-    n = 4 * CHUNK
-    while True:
-        data = src.read(begin, n)
-        try:
-            head, block, length = _parse(data)
-            return head, block, begin + length
-        except (EOFError, ValueError) as e:
-            short = isinstance(e, EOFError) or str(e) == "record without end mark" and len(data) == n or str(e) == "header without end"
-            if not short or begin + n >= src.size:
-                raise
-            n *= 4
-
-
-def _inside(data: bytes, begin: int, end: int) -> list[Found]:
+        while raw and not z.eof:
+            more = z.decompress(raw, WINDOW)
+            raw, n = z.unconsumed_tail, n + len(more)
+            if n <= WINDOW:
+                held.append(more)
+            if held and sum(map(len, held[:2])) >= 5 and not b"".join(held[:2]).startswith(b"WARC/"):
+                raise ValueError("member holds no record")
+    end = at - len(z.unused_data)
+    return (Bytes(b"".join(held)) if n <= WINDOW else Member(src, begin, n)), end
+
+
+def _inside(data: Bytes | Member, begin: int, end: int) -> Iterator[Found]:
     """Records of a member's bytes, and what lies between them as gaps; the first failed check if no record is valid."""
-    out, at, gap, first = [], 0, None, None
-    while at < len(data):
+    at, gap, first, any_ = 0, None, None, False
+    while at < data.size:
+        data.keep = at
         try:
-            head, block, after = _parse(data, at)
+            head, block, after = _record_at(data, at)
         except (ValueError, EOFError) as e:
             if gap is None:
                 gap, first = (at, str(e)), first or e
-            m = VERSION.search(data, at + 1)
-            at = m.start() if m else len(data)
+            at = _find(data, at + 1, None)
             continue
         if gap is not None:
-            out.append(Found(begin, end, reason=f"{gap[1]} (bytes {gap[0]} to {at} of the member)"))
+            yield Found(begin, end, reason=f"{gap[1]} (bytes {gap[0]} to {at} of the member)")
             gap = None
-        out.append(Found(begin, end, head, block))
+        any_ = True
+        yield Found(begin, end, head, block)
         at = after
-    if not any(f.head for f in out):
+    if not any_:
         raise first or EOFError("member is empty")
     if gap is not None:
-        out.append(Found(begin, end, reason=f"{gap[1]} (bytes {gap[0]} to {len(data)} of the member)"))
-    return out
+        yield Found(begin, end, reason=f"{gap[1]} (bytes {gap[0]} to {data.size} of the member)")
 
 
-def _next(src: Source, begin: int) -> int:
-    """The next position at which a gzip member or a version line may begin; the file's size if there is none."""
+def _find(src: Source | Bytes | Member, begin: int, magic: bytes | None) -> int:
+    """The next position at which a version line, or with magic a gzip member, may begin; the end if there is none."""
     at = begin
     while at < src.size:
+        src.keep = at
         raw = src.read(at, CHUNK)
-        hits = [i for i in (raw.find(MAGIC),) if i >= 0]
+        hits = [i for i in (raw.find(magic) if magic else -1,) if i >= 0]
         hits += [m.start() for m in [VERSION.search(raw)] if m]
         if hits:
             return at + min(hits)
@@ -181,28 +226,33 @@ def salvage(file) -> Iterator[Found]:
                 data, end = _member_at(src, at)
                 found = _inside(data, at, end)
             else:
-                head, block, end = _plain_at(src, at)
-                found = [Found(at, end, head, block)]
+                head, block, end = _record_at(src, at)
+                found = iter([Found(at, end, head, block)])
+            one = next(found)
         except (zlib.error, ValueError, EOFError) as e:
             if gap is None:
                 gap, why = at, str(e)
-            at = _next(src, at + 1)
+            at = _find(src, at + 1, MAGIC)
             continue
         if gap is not None:
             yield Found(gap, at, reason=why)
             gap = None
+        yield one
         yield from found
         at = end
     if gap is not None:
         yield Found(gap, src.size, reason=why)
 
 
-def write(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write every row as a record, one archive a task; returns (path, records) of the archives that counted.
+def write(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", size: int = ARCHIVE) -> DataFrame:
+    """Write every row as a record; returns (path, records) of the archives that counted, one row an archive.
 
-    Of rows with equal payloads of at least `least` bytes the one with the largest id is the response and the others revisit
-    it. A null payload is empty. Payloads are grouped by digest and length with maxima taken before the shuffle; rows without
-    an id are responses, as are rows that repeat the largest id. Other columns are ignored. An empty table gives no archive.
+    A task writes an archive after another, each of about `size` bytes; a lost task's archives do not count. Of rows with
+    payloads of the same SHA-1 digest and at least `least` bytes the one with the largest id is the response and the others
+    revisit it; the maxima are taken before the shuffle, and adaptive execution splits a payload that very many rows have.
+    A null payload is empty. Rows without an id revisit a response like others; where no row of a payload has an id, all are
+    responses, as are rows that repeat the largest id. Line ends in urls become spaces. Other columns are ignored. An
+    empty table gives no archive. `discard` deletes the archives.
     """
     spark = pages.sparkSession
     tune(spark)
@@ -211,30 +261,51 @@ def write(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: st
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     same = rows.filter(F.octet_length("html") >= least).groupBy("sha").agg(F.max("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
     same = materialize(same, "equal-payloads")
-    rows = rows.join(same, "sha", "left").select("id", "url", "html", F.when(F.col("id") != F.col("first"), F.col("first")).alias("to"))
+    rows = rows.join(same, "sha", "left").select("id", "url", "html", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("to"))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, sink, n = f"{folder}/{uuid.uuid4().hex}.warc.gz", None, 0
+        path, sink, n = "", None, 0
         for b in batches:
-            if b.num_rows and sink is None:
-                fs, at = filesystem(path)
-                fs.create_dir(at.rpartition("/")[0], recursive=True)
-                sink = fs.open_output_stream(at, compression=None)
             for page, url, html, to in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if sink is None:
+                    path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
+                    fs, at = filesystem(path)
+                    fs.create_dir(at.rpartition("/")[0], recursive=True)
+                    sink, n = fs.open_output_stream(at, compression=None), 0
                 sink.write(member(record(page, url, html.encode(), to)))
                 n += 1
+                if sink.tell() >= size:
+                    sink.close()
+                    sink = None
+                    yield pa.record_batch([pa.array([path]), pa.array([n], pa.int64())], names=["path", "records"])
         if sink:
             sink.close()
             yield pa.record_batch([pa.array([path]), pa.array([n], pa.int64())], names=["path", "records"])
 
-    return materialize(rows.mapInArrow(put, "path string, records long"), "archives")
+    out = materialize(rows.mapInArrow(put, "path string, records long"), "archives")
+    release(same)
+    out.archives_at = folder
+    return out
+
+
+def discard(archives: DataFrame) -> None:
+    """Delete the archives that write() made, once what was read from them is kept elsewhere."""
+    spark = archives.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(archives.archives_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    release(archives)
 
 
 ROWS = "path string, begin long, end long, reason string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
 def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """Records and gaps (reason not null) of the archives in column `path`, one task for each archive."""
+    """Records and gaps (reason not null) of the archives in column `path`.
+
+    Archives are dealt by ranges of their paths, about one to a task; a task reads each front to back and holds one record at a
+    time, or a compressed member of up to 16 MB. Fields that an archive lacks are null; no archive gives no rows. An archive
+    that is missing is an error.
+    """
     tune(archives.sparkSession)
     n = max(1, archives.count())  # one row an archive
 
@@ -265,4 +336,15 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if out:
                     yield pack(out)
 
-    return archives.select("path").repartition(n, "path").mapInArrow(get, ROWS)
+    return archives.select("path").repartitionByRange(n, "path").mapInArrow(get, ROWS)
+
+
+def quarantine(found: DataFrame) -> DataFrame:
+    """The gaps of read(): archive, first and end byte, and the failed check; the driver's log names some of them."""
+    gaps = found.filter("reason is not null").select("path", "begin", "end", "reason")
+    if total := gaps.count():
+        log = logging.getLogger(__name__)
+        log.warning("%d byte gaps were set aside", total)
+        for r in gaps.limit(20).collect():
+            log.warning("%s bytes %d to %d: %s", r.path, r.begin, r.end, r.reason)
+    return gaps
