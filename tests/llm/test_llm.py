@@ -223,7 +223,7 @@ def test_url_graph_follows_long_chains(spark):
     got = {r.host: r for r in urlgraph.judge(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")).collect()}
     assert all(got[f"g{i}.test"].trust > 0 and got[f"g{i}.test"].verdict == "allow" for i in range(15))
     assert all(got[f"b{i}.test"].distrust > 0 and got[f"b{i}.test"].verdict == "block" for i in range(16))
-    assert got["g14.test"].trust == pytest.approx(0.15 * 0.85**15)
+    assert got["g14.test"].trust == pytest.approx(0.15 * 0.85**15 / (1 - 0.85**16))
 
 
 def test_warc_salvage(spark):

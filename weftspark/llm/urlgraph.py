@@ -7,11 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 DAMPING = 0.85
-#: A rank ends when a round changes its scores by no more than this in sum, and reaches no further host.
+#: A rank ends when STEPS rounds change its scores by no more than this in sum, and reaches no further host.
 TOLERANCE = 1e-9
+#: Rounds between two written tables of scores.
+STEPS = 6
 #: Distrust may be this many times the trust before a host is blocked.
 RATIO = 1.0
 
@@ -57,28 +59,35 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
-    """(host, score): PageRank that restarts at the seeds (host, mass; the masses add up to 1).
+    """(host, score): PageRank that restarts at the seeds (host, mass; the masses add up to 1); the scores add up to 1.
 
-    A host passes its score on by its links' counts; what hosts without links hold restarts with the rest, implicitly:
-    scores are compared with each other, so that factor cancels. Contributions are summed before the shuffle. Rounds go
-    on until the scores stand still and every host that the seeds' links lead to has one.
+    A host passes its score on by its links' counts; what hosts without links hold restarts at the seeds. That restart
+    multiplies all scores by one factor, so rounds leave it out and the sum is set to 1 at the end. Contributions are summed
+    before the shuffle, and joins on a host with very many links are split by adaptive execution. Rounds go on until the scores
+    stand still and every host that the seeds' links lead to has one. No seeds give no rows.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     e = materialize(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w")), "host-edges")
-    start = seeds.select("host", ((1 - damping) * F.col("mass")).alias("score"))
     if not e.limit(1).count():
-        return start
-    score, reached = start, -1
+        return seeds.select("host", F.col("mass").alias("score"))
+    start = seeds.select("host", ((1 - damping) * F.col("mass")).alias("score"))
+    score, reached, last = start, -1, None
     while True:
-        sent = score.join(e, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (damping * F.col("score") * F.col("w")).alias("score"))
         old = score.select("host", (-F.col("score")).alias("score"))
-        score = materialize(sent.unionByName(start).groupBy("host").agg(F.sum("score").alias("score")), "host-score")
+        for _ in range(STEPS):
+            sent = score.join(e, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (damping * F.col("score") * F.col("w")).alias("score"))
+            score = sent.unionByName(start).groupBy("host").agg(F.sum("score").alias("score"))
+        score = materialize(score, "host-score")
         moved = score.unionByName(old).groupBy("host").agg(F.abs(F.sum("score")).alias("by"))
         change, hosts = moved.agg(F.sum("by"), F.count("*")).first()
+        release(last)
+        last = score
         if (change or 0) <= tolerance and hosts == reached:
             break
         reached = hosts
-    return score
+    release(e)
+    total = score.agg(F.sum("score")).first()[0]
+    return score.select("host", (F.col("score") / (total or 1.0)).alias("score"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, ratio: float = RATIO, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -86,7 +95,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, ratio: float = RATI
 
     Pages that a rule allows or blocks make their hosts trusted or blocked seeds, by their number. Trust is ranked along
     links, distrust against them (who links to blocked hosts). A url without a rule is blocked if its host's distrust
-    exceeds `ratio` times its trust; hosts that neither reaches are allowed. A null url, or one without '://', has
+    exceeds `ratio` times its trust; hosts that neither reaches are allowed. Each rank adds up to the pages behind its seeds. A null url, or one without '://', has
     an empty host and path, no rule and is allowed; repeated rows are judged alike, and each counts as a page.
     """
     host, path = host_path(F.col(url_col))
