@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_fold, materialize, tune
@@ -138,22 +138,25 @@ def _weighted(rows: DataFrame) -> DataFrame:
                 keys.append(min((crc32(b" ".join(t[i : i + 4])) for i in range(max(1, len(t) - 3))), default=0))
             yield b.append_column("copy", pa.array(keys, pa.int64()))
 
-    rows = rows.mapInArrow(key, "id long, text string, y int, copy long")
-    return rows.withColumn("w", 1 / F.count("*").over(Window.partitionBy("copy", "y"))).drop("copy")
+    rows = materialize(rows.mapInArrow(key, "id long, text string, y int, copy long"), "toxic-sample")
+    # one row a key at most, of a bounded sample: the texts stay where they are
+    n = rows.groupBy("copy", "y").agg((1 / F.count("*")).alias("w"))
+    return rows.join(F.broadcast(n), ["copy", "y"]).select("id", "text", "y", "w")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most `sample` labelled rows outside the held-out fold, chosen by a hash of the id.
 
     Of repeated labels of an id the largest counts; null labels and ids are left out. Without a row of either
-    label the model gives every text its prior probability.
+    label the model gives every text its prior probability. Rows of equal id and text count as copies. A window over
+    the sample is not needed: copies are counted by key, and the counts (one for each row of the sample at most) go to every task.
     """
     tune(docs.sparkSession)
     y = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (crc_fold(F.col(id_col)) != 2)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     y = y.orderBy(F.xxhash64("id"), "id").limit(sample)
     # at most `sample` rows, so they can go to every executor
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(y), "id").select("id", "text", "y")
-    rows = materialize(_weighted(rows.withColumn("id", F.col("id").cast("long"))), "toxic-sample")
+    rows = materialize(_weighted(rows.withColumn("id", F.col("id").cast("long"))), "toxic-weights")
     have = {r.y: r.n for r in rows.groupBy("y").agg(F.sum("w").alias("n")).collect()}
     model, n1, n0 = Model(), have.get(1, 0), have.get(0, 0)
     if not n1 or not n0:
