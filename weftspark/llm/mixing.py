@@ -11,7 +11,9 @@ from .common import materialize
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Units that one flight takes.
-GROUP = 16384
+GROUP = 4096
+#: Numbers of repeated rows that one array holds on the way.
+REPEATS = 65536
 #: Units that a flight leaves to the next one or to the landing, besides two that no step settles.
 HOLD = 12
 #: Units that move together in a flight.
@@ -112,7 +114,7 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return p
 
 
-UNITS = "source string, key long, doc_id long, size long, source_size long, target double, base long, p double"
+UNITS = "source string, key long, doc_id long, copy_no long, size long, source_size long, target double, base long, p double"
 
 
 def mix(docs: DataFrame, weights: tuple = (1, 2, 3), limit: float = 3.0, seed: int = 7, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -128,9 +130,11 @@ def mix(docs: DataFrame, weights: tuple = (1, 2, 3), limit: float = 3.0, seed: i
     spark = docs.sparkSession
     units = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     units = units.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("key"))
+    # rows that repeat id, text and source are counted first and numbered apart, so that no group gets them all
+    units = units.groupBy("doc_id", "source", "key", "size").agg(F.count("*").alias("n"))
     units = materialize(units, "mix-sizes")
     # one row a source; the number of sources is the size of what the driver holds
-    totals = [(r.source, int(r.n), int(r.rows)) for r in units.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()]
+    totals = [(r.source, int(r.n), int(r.rows)) for r in units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("n"), F.sum("n").alias("rows")).collect()]
     goal = targets([(s, n) for s, n, _ in totals], list(weights), limit)
     facts = []
     for s, n, rows in totals:
@@ -138,13 +142,16 @@ def mix(docs: DataFrame, weights: tuple = (1, 2, 3), limit: float = 3.0, seed: i
         base = int(min(np.floor(f + 1e-12), limit))
         facts.append((s, n, float(goal[s]), base, max(0.0, f - base), max(1, -(-rows // group))))
     fact = spark.createDataFrame(facts, "name string, source_size long, target double, base long, p double, parts long")
+    units = units.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / REPEATS))))
+    last = F.least((F.col("run") + 1) * REPEATS, F.col("n")) - 1
+    units = units.withColumn("copy_no", F.explode(F.sequence(F.col("run") * REPEATS, last))).drop("n", "run")
     units = units.join(fact, units.source.eqNullSafe(fact.name)).drop("name")
     names = [c.split()[0] for c in UNITS.split(", ")]
 
     hold = min(HOLD, max(0, group // 4 - 1))  # a group settles more than it keeps
 
     def fly(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["key", "doc_id"], kind="stable")
+        df = df.sort_values(["key", "doc_id", "copy_no"], kind="stable")
         last = df["parts"].iloc[0] == 1
         rng = np.random.default_rng([seed, int(df["key"].iloc[0]) & 0xFFFFFFFF, len(df)])
         size = df["size"].to_numpy(float)
@@ -153,7 +160,7 @@ def mix(docs: DataFrame, weights: tuple = (1, 2, 3), limit: float = 3.0, seed: i
 
     done, level, parts = None, 0, max((f[-1] for f in facts), default=1)
     while True:
-        units = units.withColumn("part", F.pmod(F.xxhash64("key", F.lit(level)), F.col("parts")))
+        units = units.withColumn("part", F.pmod(F.xxhash64("key", "copy_no", F.lit(level)), F.col("parts")))
         flown = materialize(units.groupBy("source", "part").applyInPandas(fly, UNITS), "mix-flown")
         settled = flown.filter("p = 0 or p = 1")
         done = settled if done is None else done.unionByName(settled)
