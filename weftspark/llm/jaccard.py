@@ -3,7 +3,8 @@
 A shingle flips one bit of a sketch, so the Hamming distance of two sketches is at most the size of the sets'
 symmetric difference, and that is at most (100 - t) (a + b) / (100 + t) for linked sets of sizes a and b. Sets
 meet in bands of similar size. Within a band the sketch is cut into blocks, more than may differ. Blocks are
-ordered, those of many elements first, as they say most; a set emits one more than may differ, so linked sets
+ordered, those that many texts share last (shared passages fill them) and else those of many elements first, as they say
+most; a set emits one more than may differ, so linked sets
 share one (pigeonhole, as in prefix filtering). Sets that share a block are compared by the Hamming distance of a
 short whole sketch, and where blocks hold several components by that of a longer one, in which fewer differences
 cancel; what passes is verified on the shingles.
@@ -15,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, materialize, tune
+from .common import arrow_batches, batched, materialize, release
 from .components import components
 
 #: Words of a shingle, and the least similarity of linked sets in hundredths.
@@ -29,12 +30,11 @@ BLOCK_BITS = 4096
 PARTS = 4
 #: A band holds sizes up to this many times its least.
 RATIO = 1.5
-#: Ids that may be sent to every executor; beyond it texts are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
-#: Bytes of an Arrow batch; pairs of long sets are heavy.
-BATCH_BYTES = 1 << 24
 #: Sets of a block that one task holds; a larger block is cut into parts, and parts are compared in pairs.
-PART = 8192
+PART = 512
+#: Texts in which common blocks are counted, how many of them make a block common, and the most common blocks that are told
+#: apart. They settle the order in which sets emit their blocks, never what is found.
+SAMPLE, COMMON, COMMONS = 4096, 6, 100_000
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -98,10 +98,11 @@ def sketch(h: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def block_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys of the blocks that a set emits, over all its bands; empty blocks come last and count as equal.
+def all_blocks(h: np.ndarray, bands: Bands) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(keys, elements, emitted) of the blocks of a set in each of its bands; empty blocks count as equal.
 
-    The low seven bits of a key are its band.
+    A key names the block, what it holds (up to pairs of elements that share a bit) and how many elements that is; its
+    low seven bits are the band.
     """
     out = []
     g = mix(h + _C[4])
@@ -112,11 +113,37 @@ def block_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
         key = np.zeros(blocks, np.uint64)
         np.bitwise_xor.at(key, block, mix((bit + np.uint64(1)) * _C[0] + block.astype(np.uint64) * _C[1]))
         held = np.bincount(block, minlength=blocks)
-        key = mix(key + np.arange(blocks, dtype=np.uint64) * _C[2])
-        out.append(key[np.lexsort((key, -held))[: differ + 1]] & ~np.uint64(127) | np.uint64(k))
+        key = mix(key + np.arange(blocks, dtype=np.uint64) * _C[2] + held.astype(np.uint64) * _C[5])
+        out.append((key & ~np.uint64(127) | np.uint64(k), held, differ + 1))
+    return out
+
+
+def block_keys(h: np.ndarray, bands: Bands, common: np.ndarray = np.zeros(0, np.uint64)) -> np.ndarray:
+    """Keys of the blocks that a set emits, over all its bands; `common` (sorted) holds keys that come last."""
+    out = []
+    for key, held, n in all_blocks(h, bands):
+        late = np.zeros(len(key), bool)
+        if len(common):
+            late = common[np.minimum(np.searchsorted(common, key), len(common) - 1)] == key
+        out.append(key[np.lexsort((key, -held, late))[:n]])
     return np.concatenate(out)
 
 
+def common_blocks(rows: DataFrame, bands: Bands, n: int) -> np.ndarray:
+    """Keys of blocks that many of SAMPLE texts share, sorted; texts are chosen by hash, and copies count once."""
+    total = rows.count()
+    some = rows.filter(F.pmod(F.xxhash64("th"), F.lit(max(1, total // SAMPLE))) == 0).dropDuplicates(["th"]).select("text")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(np.concatenate([k[held > 0] for k, held, _ in all_blocks(h, bands)])) for h in (shingles(t, n) for t in b.column(0).to_pylist()) if len(h)]
+            yield pa.record_batch({"key": pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))})
+
+    with arrow_batches(rows.sparkSession):
+        top = some.mapInArrow(keys, "key long").groupBy("key").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(COMMONS).select("key").toPandas()
+    return np.sort(top["key"].to_numpy(np.int64).view(np.uint64))
+
+
 def verified(a: np.ndarray, b: np.ndarray, t: int = THRESHOLD) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= t * (len(a) + len(b) - both)
@@ -127,8 +154,8 @@ def lists(parts: list[np.ndarray], kind: np.dtype) -> pa.ListArray:
     return pa.ListArray.from_arrays(ends, np.concatenate([*parts, np.zeros(0, kind)]).astype(kind, copy=False))
 
 
-def sets(docs: DataFrame, bands: Bands, n: int = N) -> DataFrame:
-    """doc_id, n_shingles, fp (hash of the set, null if empty); block keys and sketches where a task meets fp first."""
+def sets(docs: DataFrame, bands: Bands, n: int = N, common: np.ndarray = np.zeros(0, np.uint64)) -> DataFrame:
+    """doc_id, th, n_shingles, fp (hash of the set, null if empty); block keys and sketches where a task meets fp first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
@@ -146,15 +173,15 @@ def sets(docs: DataFrame, bands: Bands, n: int = N) -> DataFrame:
                     keys.append(none)
                 else:
                     seen.add(fp)
-                    keys.append(block_keys(h, bands).view(np.int64))
+                    keys.append(block_keys(h, bands, common).view(np.int64))
                     for k, _ in bands.of(len(h)):
                         band.append(k)
                         bits.append(sketch(h, PARTS * bands.words(k)))
                 sketches.append(len(band))
             sk = pa.ListArray.from_arrays(pa.array(sketches, pa.int32()), pa.StructArray.from_arrays([pa.array(band, pa.int32()), lists(bits, np.int64)], ["band", "bits"]))
-            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), lists(keys, np.int64), sk], names=["doc_id", "n_shingles", "fp", "keys", "sk"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), lists(keys, np.int64), sk], names=["doc_id", "th", "n_shingles", "fp", "keys", "sk"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, fp long, keys array<long>, sk array<struct<band: int, bits: array<long>>>")
+    return docs.mapInArrow(run, "doc_id long, th long, n_shingles long, fp long, keys array<long>, sk array<struct<band: int, bits: array<long>>>")
 
 
 def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,22 +292,23 @@ def compared(rows: DataFrame, how, threshold: int) -> DataFrame:
     return rows.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t", "part", "rank").mapInArrow(run, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: components of the links with 100 * intersection >= threshold * union.
+def has_words(text: Column) -> Column:
+    return F.coalesce(text.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+
+
+def grouped(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, th (a hash of the text), n_shingles, comp (names the row's group, null without words) and component_id.
 
     Documents with equal sets are one node. The sets of a block are first compared with the earliest one that is
     near, which joins a group of near copies by as many pairs as it has sets; then, where a block still holds more
     than one component, all near pairs between different components are verified. Blocks of more than PART sets
-    are cut into parts. Nulls, empty texts and null ids are linked with nothing; repeated ids are one document's
-    rows; other columns are ignored.
+    are cut into parts.
     """
-    spark = docs.sparkSession
-    tune(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     bands = Bands(threshold)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = materialize(sets(rows, bands, n), "shingle-sets")
-    node = found.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
+    found = materialize(sets(rows, bands, n, common_blocks(rows, bands, n)), "shingle-sets")
+    node = found.filter("fp is not null").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("x")).select("fp", F.col("x.doc_id").alias("doc"), "x.th")
+    node = materialize(node, "distinct-sets")
     keyed = found.filter("keys is not null").select("fp", F.explode("keys").alias("key"))
     met = materialize(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(shared, "key long, fp long, rank long"), "shared-blocks")
     info = found.filter("size(sk) > 0").select("fp", F.col("n_shingles").alias("n"), F.explode("sk").alias("s")).select("fp", "n", "s.*").dropDuplicates(["fp", "band"])
@@ -289,8 +317,10 @@ def join(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, id_col: str =
     for i in range(1, PARTS):
         folded = F.zip_with(folded, F.slice("bits", words * i + 1, words), lambda x, y: x.bitwiseXOR(y))
     sized = met.groupBy("key").agg((F.max("rank") + 1).alias("size"))
+    keyed = met
     met = met.withColumn("band", F.col("key").bitwiseAND(127).cast("int")).join(sized, "key").join(info.withColumn("bits", folded), ["fp", "band"])
     met = materialize(met.withColumn("part", F.floor(F.col("rank") / PART)), "blocks")
+    release(keyed)
     part = F.col("part").alias("s"), F.col("part").alias("t")
     rest = met.withColumn("comp", F.col("fp")).select("*", *part)
     # the earliest set of a block is compared with every part
@@ -317,15 +347,20 @@ def join(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, id_col: str =
 
     def linked(close: DataFrame, name: str) -> DataFrame:
         """The pairs that are links; whole sets are made anew for the sets in question only."""
-        wanted = materialize(close.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(node, "fp").select("fp", "doc"), "wanted")
-        texts = rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, rows.doc_id == wanted.doc).select("fp", "text")
-        # repeated ids may give a set twice
+        wanted = materialize(close.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(node, "fp").select("fp", "doc", F.col("th").alias("of")), "wanted")
+        texts = rows.join(wanted, (rows.th == wanted.of) & rows.doc_id.eqNullSafe(wanted.doc)).select("fp", "text")
+        # repeated rows may give a set twice
         whole = materialize(texts.mapInArrow(hashes, "fp long, h binary").dropDuplicates(["fp"]), "candidate-sets")
         both = close.join(whole.select(F.col("fp").alias("b"), F.col("h").alias("hb")), "b").join(whole.select(F.col("fp").alias("a"), F.col("h").alias("ha")), "a")
-        return materialize(both.select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long"), name)
+        out = materialize(both.select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long"), name)
+        release(wanted, whole)
+        return out
 
     close = materialize(compared(rest.unionByName(heads), stars, threshold), "star-pairs")
     links = linked(close, "star-links")
+    # rows that repeat an id are one document
+    twice = found.filter("fp is not null and doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).filter("b < most").select("doc_id", "b")
+    links = links.unionByName(found.filter("fp is not null").join(twice, "doc_id").select(F.col("fp").alias("a"), "b"))
     label = components(links).withColumnRenamed("node", "fp")
     # blocks of two were settled; others only where they hold different components
     open_ = met.filter("size > 2").join(label, "fp", "left").withColumn("comp", F.coalesce("component", "fp")).drop("component")
@@ -335,12 +370,42 @@ def join(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, id_col: str =
     pair = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / PART)))
     open_ = open_.withColumn("other", pair).withColumn("s", F.least("part", "other")).withColumn("t", F.greatest("part", "other"))
     more = materialize(compared(open_, crossing, threshold).join(close, ["a", "b"], "left_anti"), "crossing-pairs")
+    release(met, close)
     if more.limit(1).count():
         also = linked(more, "crossing-links")
         if also.limit(1).count():
             label = components(links.unionByName(also)).withColumnRenamed("node", "fp")
+    release(more)
     group = node.join(label, "fp", "left").select("fp", "doc", F.coalesce("component", "fp").alias("comp"))
     least = group.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    group = group.join(least, "comp").select("fp", "component_id")
-    out = found.select("doc_id", "n_shingles", "fp").join(group, "fp", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    group = group.join(least, "comp").select("fp", "comp", "component_id")
+    out = found.select("doc_id", "th", "n_shingles", "fp").join(group, "fp", "left")
+    return out.select("doc_id", "th", "n_shingles", "comp", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def join(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id: components of the links with 100 * intersection >= threshold * union.
+
+    Null and empty texts have no shingles and are linked with nothing. Rows that repeat an id are one document, so texts
+    near to any of them are reachable from all. A null id links like any other, but lends no id: component_id is the
+    smallest id that is not null, and null in a component without one. Other columns are ignored; an empty table gives no rows.
+    """
+    return grouped(docs, n, threshold, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of join(), with the columns it came with, and every row without words.
+
+    It is the row with the smallest id (null ids come last, equal ids by a hash of the text); of rows that repeat that
+    id and text one stays.
+    """
+    # columns of the documents may have any name, so they stay together while others are beside them
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(F.col(text_col)).alias("own_th"), has_words(F.col(text_col)).alias("words"))
+    rows = grouped(docs, n, threshold, id_col, text_col).filter("comp is not null")
+    first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("x")).select("x.doc_id", "x.th")
+    times = rows.groupBy("doc_id", "th").agg(F.count("*").alias("times")).withColumnsRenamed({"doc_id": "id_", "th": "th_"})
+    first = first.join(times, first.doc_id.eqNullSafe(times.id_) & (first.th == times.th_)).select("doc_id", "th", "times")
+    first = materialize(first, "representatives")
+    kept = whole.filter("words").join(first, F.col("own_id").eqNullSafe(first.doc_id) & (F.col("own_th") == first.th))
+    once = kept.filter("times = 1").select("doc").unionByName(kept.filter("times > 1").dropDuplicates(["own_id", "own_th"]).select("doc"))
+    return once.unionByName(whole.filter("not words").select("doc")).select("doc.*")
