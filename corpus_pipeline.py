@@ -17,9 +17,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def merge_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked documents: the one with the smallest id. Unlinked documents stay."""
-    kept = jaccard.join(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    """One document of each component of linked documents, the one with the smallest id, and one row of exact copies.
+
+    Documents without words are linked with nothing and stay.
+    """
+    return jaccard.representatives(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
