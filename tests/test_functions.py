@@ -1,22 +1,26 @@
 """Golden urls and the streaming index."""
 
+import html
+
 import pytest
 from pyspark.sql import functions as F
 
-from weftspark.functions import urls
-from weftspark.operators import index
+from weftspark.functions import markup, urls
+from weftspark.operators import frontier, graph, index
+from weftspark.sources import store
 from weftspark.streaming import ingest
 
 NORMAL = [
-    ("https://WWW.Example.Com/Page/", "https://example.com/Page"),
-    ("https://example.com/page?utm_source=twitter&q=go", "https://example.com/page?q=go"),
-    ("https://example.com/page#section", "https://example.com/page"),
-    ("ftp://example.com", None),
-    ("https://example.com/", "https://example.com"),
-    ("https://example.com/p?b=2&REF=x&a=1", "https://example.com/p?a=1&b=2"),
-    ("https://example.com:8080/p?flag", "https://example.com:8080/p?flag="),
-    ("https://u:p@example.com/a%20b?q=a%20b", "https://example.com/a b?q=a+b"),
-    ("://bad-url", None),
+    ("HTTP://WWW.Fjord.TEST/Map/North/", "http://fjord.test/Map/North"),
+    ("https://fjord.test/list?gclid=77&zone=4&UTM_Term=x", "https://fjord.test/list?zone=4"),
+    ("https://fjord.test/list#end", "https://fjord.test/list"),
+    ("gopher://fjord.test/list", None),
+    ("https://www.fjord.test/", "https://fjord.test"),
+    ("https://fjord.test/l?z=1&k=2&z=0", "https://fjord.test/l?k=2&z=1&z=0"),
+    ("https://fjord.test:8443/l?on", "https://fjord.test:8443/l?on="),
+    ("https://me:pw@fjord.test/two%20words?q=a%7Eb%2A", "https://fjord.test/two words?q=a~b%2A"),
+    ("fjord.test/list", None),
+    ("https:///list", None),
     (None, None),
 ]
 
@@ -28,20 +32,59 @@ def test_normalize(spark, raw, want):
 
 
 def test_strip_and_allow(spark):
-    df = spark.createDataFrame([("https://example.com/page?q=foo#top",), ("https://www.stackoverflow.com/q",), ("https://api.github.com/x",), ("://bad",)], "u string")
-    assert [r[0] for r in df.select(urls.strip_url(F.col("u"))).collect()] == ["https://example.com/page?q=foo", "https://www.stackoverflow.com/q", "https://api.github.com/x", None]
-    assert [r[0] for r in df.select(urls.is_allowed(F.col("u"), urls.allowed_domains(F.lit(urls.DEFAULT_ALLOWED)))).collect()] == [False, True, False, None]
-    many = spark.range(1).select(F.size(urls.allowed_domains(F.lit(urls.DEFAULT_ALLOWED + ", www.stackoverflow.com , ,developer.mozilla.org")))).first()[0]
-    assert many == 12
+    df = spark.createDataFrame([("ftp://fjord.test/a?b=c#d",), ("http://www.Elm.test:81/q",), ("http://sub.elm.test/x",), ("elm.test",)], "u string")
+    assert [r[0] for r in df.select(urls.strip_url(F.col("u"))).collect()] == ["ftp://fjord.test/a?b=c", "http://www.Elm.test:81/q", "http://sub.elm.test/x", None]
+    own = urls.allowed_domains(F.lit(" Elm.test.,,fjord.test:80,www.elm.test, "))
+    assert [r[0] for r in df.select(urls.is_allowed(F.col("u"), own)).collect()] == [True, True, False, None]
+    assert spark.range(1).select(own).first()[0] == ["elm.test", "fjord.test"]
+    none = urls.allowed_domains(F.lit(" ,"))
+    assert [r[0] for r in df.select(urls.is_allowed(F.col("u"), none)).collect()] == [True] * 4
+
+
+def test_seed(spark):
+    assert frontier.seed(spark, "https://www.elm.test/a/", ["elm.test"]).collect() == [("https://elm.test/a", 0.0)]
+    with pytest.raises(ValueError):
+        frontier.seed(spark, "https://oak.test/", ["elm.test"])
+
+
+def test_references(spark):
+    cases = ["&eacute;&Eacute;", "&#233;&#xe9;&#XE9", "&amp;lt;&lt;", "&#38;lt;", "&nosuch;&;&#;&", "&#150;&#0;&#xD800;&#1114112;", "&NotEqualTilde;&#128512;", "plain", ""]
+    got = [r[0] for r in spark.createDataFrame([(c,) for c in cases], "t string").select(markup.decode(F.col("t"))).collect()]
+    assert got == [html.unescape(c) for c in cases]
+
+
+def test_paragraphs_without_any(spark):
+    df = spark.createDataFrame([(None,), ("",), ("<p>",), ("<p>a<p>&lt;p&gt; [1]b",)], "h string")
+    assert [r[0] for r in df.select(markup.paragraphs(F.col("h"))).collect()] == [[], [], [""], ["a", "<p> b"]]
+
+
+def test_hubs_get_several_arrays(spark):
+    e = spark.createDataFrame([(f"s{i:03}", "hub") for i in range(250)] + [("s001", "leaf")], "src string, dst string")
+    got = graph.backlinks(e, 40).collect()
+    assert max(len(r.links) for r in got) < 80 and sorted(x for r in got if r.url == "hub" for x in r.links) == [f"s{i:03}" for i in range(250)]
+    assert [(r.part, r.links) for r in got if r.url == "leaf"] == [(0, ["s001"])]
+
+
+def test_filters_do_not_copy_expressions(spark):
+    pages = spark.createDataFrame([("https://elm.test/a", "<p>the words of a page</p>")], "url string, html string")
+    plan = index.postings(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("('s|'re|'ve|'ll|'d|'m|n't)") <= 2  # the sample's words and the text's
+
+
+def test_numbers_go_on_across_ranges(spark):
+    rows = [("hot", i) for i in range(500)] + [(None, 7), (None, 3), ("b", 1)]
+    df = spark.createDataFrame(rows, "host string, at int").repartition(7)
+    got = {(r.host, r.at): r.n for r in store.numbered(df, "host", "at", "n").collect()}
+    assert got == {**{("hot", i): i for i in range(500)}, (None, 3): 0, (None, 7): 1, ("b", 1): 0}
 
 
 def test_boost(spark):
-    html = "<html><p>Python is a language of programming for the web.</p><p>In python the web and programming [1] are object-oriented.</p><p>Python.</p></html>"
-    p = spark.createDataFrame([("https://example.com/python-guide", html)], "url string, html string")
+    text = "<p>Sailing needs wind and a boat for sailing.</p><p>The boat [2] of wood: well-built. Sailing!</p>"
+    p = spark.createDataFrame([("https://harbour.test/sailing-boat/sailing", text)], "url string, html string")
     tf = {r.word: r.tf for r in index.postings(p).collect()}
-    assert tf["python"] == 150 and tf["web"] == 2 and tf["programming"] == 2
-    assert tf["https"] == tf["example"] == tf["guide"] == 10
-    assert "com" not in tf and "object-oriented" not in tf
+    assert tf["sailing"] == 3 * 50 * 50 and tf["boat"] == 2 * 50 and tf["wind"] == 1
+    assert tf["https"] == tf["harbour"] == tf["test"] == 10
+    assert "well" not in tf and "2" not in tf and "the" not in tf
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -2,22 +2,62 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import urls
+from . import text, urls
 
 HIDDEN = r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->"
 P_END = r"(?i)</?(p|address|article|aside|blockquote|body|details|div|dl|fieldset|figure|footer|form|h[1-6]|header|hr|html|main|menu|nav|ol|pre|section|table|ul)(\s[^>]*)?/?>"
-# fixed values: entities of the corpus, '&amp;' last
-ENTITIES = [("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#39;", "'"), ("&amp;", "&")]
-# end of fixed values
+#: Frequent entities, replaced without looking into a table; none of them gives an ampersand.
+FREQUENT = [("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#39;", "'")]
+#: Names of the HTML standard, from the table of Python's library.
+NAMED = {name[:-1]: char for name, char in html.entities.html5.items() if name.endswith(";")}
+#: Numbers that the standard reads in the Windows code page.
+WINDOWS = {n: bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
+PIECES = "&#[0-9]{1,7};?|&#[xX][0-9a-fA-F]{1,6};?|&[A-Za-z][A-Za-z0-9]{1,31};|[^&]+|&"
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with the value evaluated once, however often `use` reads it."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; what is none is the replacement character."""
+    out = F.when((code <= 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+    for n, char in WINDOWS.items():
+        out = out.when(code == n, F.lit(char))
+    return out.otherwise(F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32"))
+
+
+def _piece(p: Column) -> Column:
+    digits = F.regexp_replace(F.substring(p, 3, 20), "[;xX]", "")
+    named = F.try_element_at(F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>"), F.substring(p, F.lit(2), F.length(p) - 2))
+    number = F.when(p.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+    return F.when((F.length(p) < 3) | ~p.startswith("&"), p).when(p == "&amp;", F.lit("&")).when(p.startswith("&#"), _character(number)).otherwise(F.coalesce(named, p))
+
+
+def decode(t: Column) -> Column:
+    """Character references as the HTML standard reads them (names with their semicolon, numbers with or without)."""
+    for name, char in FREQUENT:
+        t = F.replace(t, F.lit(name), F.lit(char))
 
+    def rest(t: Column) -> Column:
+        by_piece = F.array_join(F.transform(F.regexp_extract_all(t, F.lit(PIECES), F.lit(0)), lambda p: _piece(p)), "")
+        return F.when(F.replace(t, F.lit("&amp;"), F.lit("")).rlike("&(#|[A-Za-z])"), by_piece).otherwise(F.replace(t, F.lit("&amp;"), F.lit("&")))
 
-def decode(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    return bound(t, rest)
+
+
+def plain_decode(t: Column) -> Column:
+    """decode() for attribute values, which hold frequent entities only."""
+    for name, char in [*FREQUENT, ("&amp;", "&")]:
+        t = F.replace(t, F.lit(name), F.lit(char))
+    return t
 
 
 def tags(html: Column, name: str) -> Column:
@@ -27,7 +67,7 @@ def tags(html: Column, name: str) -> Column:
 def attribute(tag: Column, name: str) -> Column:
     """An attribute's value, decoded; null if the element lacks it."""
     hit = F.regexp_extract(tag, rf"(?i)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1)
-    return F.when(hit != "", decode(F.regexp_replace(hit, "^[\"']|[\"']$", "")))
+    return F.when(hit != "", plain_decode(F.regexp_replace(hit, "^[\"']|[\"']$", "")))
 
 
 def links(html: Column, url: Column) -> Column:
@@ -75,7 +115,7 @@ def description(html: Column) -> Column:
 def directives(html: Column) -> Column:
     """(noindex, nofollow) of robots meta elements; 'none' means both."""
     robots = F.filter(tags(html, "meta"), lambda t: F.lower(F.coalesce(attribute(t, "name"), F.lit(""))) == "robots")
-    words = F.flatten(F.transform(robots, lambda t: F.transform(F.split(F.lower(F.coalesce(attribute(t, "content"), F.lit(""))), ","), F.trim)))
+    words = F.flatten(F.transform(robots, lambda t: F.transform(F.split(F.lower(F.coalesce(attribute(t, "content"), F.lit(""))), ","), lambda w: F.trim(w))))
     both = F.array_contains(words, "none")
     return F.struct((both | F.array_contains(words, "noindex")).alias("noindex"), (both | F.array_contains(words, "nofollow")).alias("nofollow"))
 
@@ -83,9 +123,22 @@ def directives(html: Column) -> Column:
 def paragraphs(html: Column) -> Column:
     """Text of each paragraph element up to its end, given or implied; bracketed notes removed."""
     shown = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, ""), r"(?i)<p(\s[^>]*)?>", "\x01")
-    pieces = F.slice(F.split(shown, "\x01"), F.lit(2), F.lit(1_000_000))
-    pieces = F.transform(pieces, lambda p: F.split_part(F.regexp_replace(p, P_END, "\x02"), F.lit("\x02"), F.lit(1)))
-    return F.transform(pieces, lambda p: F.trim(F.regexp_replace(decode(F.regexp_replace(p, "<[^>]*>", "")), r"\[.*?\]", "")))
+    none = F.array().cast("array<string>")
+
+    def texts(pieces: Column) -> Column:
+        own = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.regexp_replace(F.split_part(F.regexp_replace(p, P_END, "\x02"), F.lit("\x02"), F.lit(1)), "<[^>]*>", ""))
+        # references are read once for all paragraphs; none of them gives the mark between these
+        whole = F.split(decode(F.array_join(own, "\x01")), "\x01")
+        return F.when(F.size(pieces) < 2, none).otherwise(F.transform(whole, lambda p: F.trim(F.regexp_replace(p, r"\[.*?\]", ""))))
+
+    return bound(F.split(shown, "\x01"), texts)
+
+
+def meta_map(html: Column) -> Column:
+    """Key to content of meta elements; of equal keys the last counts."""
+    found = metas(html)
+    last = F.filter(found, lambda m, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda n: n["key"] == m["key"]))
+    return F.map_from_entries(F.transform(last, lambda m: F.struct(m["key"], m["content"])))
 
 
 def page_text(html: Column) -> Column:
@@ -95,3 +148,9 @@ def page_text(html: Column) -> Column:
 def whole_text(html: Column) -> Column:
     """Text of the whole document, white space collapsed."""
     return F.trim(F.regexp_replace(decode(F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, ""), "<[^>]*>", " ")), r"\s+", " "))
+
+
+def process(html: Column) -> Column:
+    """(summary, text): of the whole document, not of its paragraphs only."""
+    whole = whole_text(html)
+    return F.struct(text.summary(whole).alias("summary"), whole.alias("text"))

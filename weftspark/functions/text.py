@@ -51,13 +51,19 @@ def collapse(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\n+", " "), r"\s+", " ")
 
 
-def language(text: Column, sample: int = 1000) -> Column:
-    """Language with the most stop words in the first characters (ties: by name), 'unknown' without any."""
-    w = words(F.substring(text, 1, sample))
+def sample(text: Column, n: int = 1000) -> Column:
+    """The words that settle a text's language: of its first n characters."""
+    return words(F.substring(text, 1, n))
+
+
+def vote(w: Column) -> Column:
+    """(language, confidence) of an array of words: that with most stop words (ties: by name), 'unknown' without any.
+
+    The confidence is the winner's share of all stop words found. Bind the words first (store.once): they are read five times.
+    """
     hits = lambda stop: F.size(F.filter(w, lambda x: x.isin(stop)))
-    votes = [F.struct((-hits(stop)).alias("n"), F.lit(lang).alias("lang")) for lang, stop in STOP.items()]
-    best = F.array_min(F.array(*votes))
-    return F.when(best["n"] < 0, best["lang"]).otherwise("unknown")
+    votes = F.array(*(F.struct((-hits(stop)).alias("n"), F.lit(lang).alias("lang")) for lang, stop in STOP.items()))
+    return F.aggregate(votes, F.struct(F.lit(0).alias("n"), F.lit("unknown").alias("lang"), F.lit(0).alias("all")), lambda a, v: F.struct(F.least(a["n"], v["n"]).alias("n"), F.when((v["n"] < a["n"]) | (v["n"] == a["n"]) & (v["n"] < 0) & (v["lang"] < a["lang"]), v["lang"]).otherwise(a["lang"]).alias("lang"), (a["all"] - v["n"]).alias("all")), lambda a: F.struct(a["lang"].alias("language"), F.when(a["all"] > 0, -a["n"] / a["all"]).otherwise(0.0).alias("confidence")))
 
 
 def to_rfc1123(ts: Column) -> Column:

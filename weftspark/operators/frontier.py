@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup, text, urls
-from . import policy
+from ..sources.store import once, stage
+from . import policy, robots
 
 
 def seed(spark: SparkSession, url: str, allowed: list[str]) -> DataFrame:
@@ -29,35 +30,46 @@ def merge(frontier: DataFrame, candidates: DataFrame) -> DataFrame:
     return frontier.unionByName(candidates).groupBy("url").agg(text.clamp(F.min("score")).alias("score"))
 
 
-def candidates(batch: DataFrame, pages: DataFrame, allowed: Column) -> DataFrame:
-    """(url, score) of links on popped pages that may be followed and that the policy allows.
+def candidates(batch: DataFrame, pages: DataFrame, allowed: Column, rules: DataFrame | None = None) -> DataFrame:
+    """(url, score) of links on popped pages that may be followed, that the policy allows and that robots rules do not forbid.
 
-    `batch` is (url, score), `pages` is (url, html). A page's links score its own score + 1 + the adjustment.
+    `batch` is (url, score), `pages` is (url, html) and may have base, the url that links are relative to. `rules` is
+    robots.parse(). A page's links score its own score + 1 + the adjustment. Neither noindex nor nofollow pages give any.
     """
-    at = batch.join(pages.select("url", "html"), "url")
-    may = markup.directives(F.col("html"))
-    at = at.filter(~may["noindex"] & ~may["nofollow"]).select("score", F.explode(markup.links(F.col("html"), F.col("url"))).alias("raw"))
-    at = at.filter(urls.is_valid_url(F.col("raw"))).withColumn("d", policy.evaluate(F.col("raw"), allowed)).filter("d.allowed")
-    return at.select(urls.normalize_url(F.col("raw")).alias("url"), (F.col("score") + 1 + F.col("d.adjustment")).alias("score")).filter("url is not null").groupBy("url").agg(F.min("score").alias("score"))
-
-
-def step(frontier: DataFrame, visited: DataFrame, pages: DataFrame, allowed: Column, n: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One round: (frontier, visited, popped batch) after it."""
-    batch = pop(frontier, visited, n)
+    base = F.col("base") if "base" in pages.columns else F.col("url")
+    at = batch.join(pages.select("url", "html", base.alias("base")), "url")
+    at = once(at, may=markup.directives(F.col("html"))).filter("not may.noindex and not may.nofollow")
+    at = at.select("score", F.explode(markup.links(F.col("html"), F.col("base"))).alias("raw")).filter(urls.is_valid_url(F.col("raw")))
+    at = policy.decide(at, "raw", allowed).filter("d.allowed")
+    if rules is not None:
+        at = once(at, host=urls.host_of(F.col("raw")), path=urls.decoded_path(F.col("raw"))).join(rules, "host", "left").filter(robots.allowed(F.col("path"), F.col("allow"), F.col("disallow")))
+    return at.groupBy(urls.normalize_url(F.col("raw")).alias("url")).agg(F.min(F.col("score") + 1 + F.col("d.adjustment")).alias("score")).filter("url is not null")
+
+
+def step(frontier: DataFrame, visited: DataFrame, pages: DataFrame, allowed: Column, n: int = 100, rules: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round: (frontier, visited, popped batch) after it. The batch, n urls at most, is written once."""
+    batch = stage(pop(frontier, visited, n), "batch")
     left = frontier.join(batch.select("url"), "url", "left_anti")
-    return merge(left, candidates(batch, pages, allowed)), visited.unionByName(batch.select("url")).distinct(), batch
+    return merge(left, candidates(batch, pages, allowed, rules)), visited.unionByName(batch.select("url")).distinct(), batch
 
 
-def crawl(frontier: DataFrame, pages: DataFrame, allowed: Column, rounds: int, n: int = 100) -> DataFrame:
-    """(url, score, round) of popped urls over some rounds. Each round is checkpointed where a folder for it is set."""
-    spark = frontier.sparkSession
-    keep = bool(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
-    visited = spark.createDataFrame([], "url string")
+def crawl(frontier: DataFrame, pages: DataFrame, allowed: Column, rounds: int, n: int = 100, rules: DataFrame | None = None) -> DataFrame:
+    """(url, score, round) of popped urls over some rounds. Frontier and visited urls are written after each round."""
+    visited = frontier.select("url").limit(0)
     out = None
     for i in range(rounds):
-        frontier, visited, batch = step(frontier, visited, pages, allowed, n)
-        if keep:
-            frontier, visited, batch = frontier.checkpoint(), visited.checkpoint(), batch.checkpoint()
+        frontier, visited, batch = step(frontier, visited, pages, allowed, n, rules)
+        frontier, visited = stage(frontier, "frontier"), stage(visited, "visited")
         batch = batch.withColumn("round", F.lit(i))
         out = batch if out is None else out.unionByName(batch)
     return out
+
+
+def peek(queue: DataFrame, order: str = "seq") -> DataFrame:
+    """The entry that a pop would take, left where it is."""
+    return queue.orderBy(order).limit(1)
+
+
+def load(queue: DataFrame, page_data: DataFrame, key: str = "page_key") -> DataFrame:
+    """Queued keys with their stored pages; keys without one are skipped."""
+    return queue.join(page_data, key)

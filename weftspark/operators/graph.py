@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup, urls
+from ..sources.store import stage
 
 
 def edges(pages: DataFrame) -> DataFrame:
@@ -21,13 +22,23 @@ def outlinks(pages: DataFrame) -> DataFrame:
     return own.join(by, own.url == by.src, "left").select("url", F.coalesce("links", F.array().cast("array<string>")).alias("links"))
 
 
-def backlinks(e: DataFrame) -> DataFrame:
-    return e.groupBy(F.col("dst").alias("url")).agg(F.sort_array(F.collect_set("src")).alias("links"))
+def backlinks(e: DataFrame, most: int = 100_000) -> DataFrame:
+    """(url, part, links): sorted sources of each target. A target with more than `most` of them gets several parts."""
+    n = e.groupBy(F.col("dst").alias("url")).agg(F.ceil(F.count("*") / most).alias("parts"))
+    large = n.filter("parts > 1")
+    part = F.pmod(F.xxhash64("src"), F.coalesce("parts", F.lit(1))).alias("part")
+    dealt = e.withColumnRenamed("dst", "url").join(large, "url", "left").select("url", part, "src")
+    return dealt.groupBy("url", "part").agg(F.sort_array(F.collect_list("src")).alias("links"))
 
 
 def degrees(e: DataFrame) -> DataFrame:
-    both = e.select(F.col("src").alias("url"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(e.select(F.col("dst").alias("url"), F.lit(0).alias("o"), F.lit(1).alias("i")))
-    return both.groupBy("url").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
+    ends = F.array(F.struct(F.col("src").alias("url"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("url"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    return e.select(F.explode(ends).alias("x")).groupBy("x.url").agg(F.sum("x.o").alias("out_degree"), F.sum("x.i").alias("in_degree"))
+
+
+def links_of(pages: DataFrame, out: DataFrame) -> DataFrame:
+    """Pages with their stored target lists; null where none is stored."""
+    return pages.join(out, "url", "left")
 
 
 def images(pages: DataFrame) -> DataFrame:
@@ -43,13 +54,14 @@ def last_image_writer(found: DataFrame, order: str = "page") -> DataFrame:
 
 def pagerank(e: DataFrame, damping: float = 0.85, rounds: int = 5) -> DataFrame:
     """(url, rank): starts at 1/n; each round (1 - d) / n + d * sum(rank / out degree). Sinks pass nothing on."""
+    e = stage(e, "edges")
     nodes = e.select(F.col("src").alias("url")).unionByName(e.select(F.col("dst").alias("url"))).distinct()
+    nodes = stage(nodes, "nodes")
     n = nodes.count()
     share = e.join(e.groupBy("src").agg(F.count("*").alias("deg")), "src")
     rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    keep = bool(e.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir"))
     for _ in range(rounds):
         got = rank.join(share, rank.url == share.src).groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
         rank = nodes.join(got, nodes.url == got.dst, "left").select("url", ((1 - damping) / max(n, 1) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        rank = rank.checkpoint() if keep else rank
+        rank = stage(rank, "rank")
     return rank

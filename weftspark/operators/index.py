@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import markup, text, urls
+from ..sources.store import once
 
 TOP, HIT, MISS = 1000, 50, 10
 #: Postings saturate here: repeated boosts overflow a long otherwise.
@@ -21,7 +22,7 @@ def fetched(fetches: DataFrame, most: int = 10_485_760) -> DataFrame:
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, word, tf, first_pos) of surviving tokens."""
-    t = docs.select(F.col(id_col), F.posexplode(text.tokens(F.col(text_col))).alias("pos", "word"))
+    t = once(docs.select(id_col, text_col), tokens=text.tokens(F.col(text_col))).select(id_col, F.posexplode("tokens").alias("pos", "word"))
     return t.groupBy(id_col, "word").agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
 
 
@@ -32,30 +33,39 @@ def top_words(counts: DataFrame, id_col: str, k: int = TOP) -> DataFrame:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """One row a page: normalised url, paragraph text, summary, language, title, description."""
+    """One row a page: normalised url, paragraph text, summary, language, confidence, title, description.
+
+    Text, summary and language are each evaluated once, whatever reads them.
+    """
     p = pages.select(urls.normalize_url(F.col("url")).alias("url"), "html").filter("url is not null")
-    p = p.withColumn("text", markup.page_text(F.col("html")))
-    return p.select("url", "text", text.summary(F.col("text")).alias("summary_text"), text.language(text.summary(F.col("text"))).alias("language"), markup.title(F.col("html")).alias("title"), markup.description(F.col("html")).alias("description"))
+    p = once(p, text=markup.page_text(F.col("html")))
+    p = once(p, summary_text=text.summary(F.col("text")))
+    p = once(p, sample=text.sample(F.col("summary_text")))
+    p = once(p, vote=text.vote(F.col("sample")))
+    return p.select("url", "text", "summary_text", "vote.language", "vote.confidence", markup.title(F.col("html")).alias("title"), markup.description(F.col("html")).alias("description"))
 
 
-def boosted(counts: DataFrame, pages: DataFrame, k: int = TOP) -> DataFrame:
-    """(url, word, tf): top words, times 50 for each occurrence in the url; 10 for a first one that the text lacks."""
-    top = top_words(counts, "url", k).select("url", "word", "tf")
-    own = pages.select("url", F.explode(urls.url_tokens(F.col("url"))).alias("word")).groupBy("url", "word").agg(F.count("*").alias("k"))
-    both = top.join(own, ["url", "word"], "full")
-    tf = F.when(F.col("k").isNull(), F.col("tf").cast("double")).when(F.col("tf").isNull(), MISS * F.pow(F.lit(float(HIT)), F.col("k") - 1)).otherwise(F.col("tf") * F.pow(F.lit(float(HIT)), F.col("k")))
-    return both.select("url", "word", F.least(tf, F.lit(float(MOST))).cast("long").alias("tf"))
+def english(pages: DataFrame) -> DataFrame:
+    """Parsed pages in English with at least one token, and their tokens."""
+    return once(parsed(pages).filter("language = 'en'"), tokens=text.tokens(F.col("text"))).filter(F.size("tokens") > 0)
 
 
-def english(pages: DataFrame) -> DataFrame:
-    """Parsed pages in English with at least one token."""
-    return parsed(pages).filter("language = 'en'").filter(F.size(text.tokens(F.col("text"))) > 0)
+def boosted(p: DataFrame, k: int = TOP) -> DataFrame:
+    """(url, word, tf) of pages with tokens: the k most frequent words, times 50 for each occurrence in the url; 10 for
+    a first one that the text lacks. Words of text and url are counted in one aggregation."""
+    own = F.transform(urls.url_tokens(F.col("url")), lambda w: F.struct(w.alias("word"), F.lit(None).cast("int").alias("pos"), F.lit(1).alias("k")))
+    of_text = F.transform("tokens", lambda w, i: F.struct(w.alias("word"), i.alias("pos"), F.lit(0).alias("k")))
+    w = p.select("url", F.explode(F.concat(of_text, own)).alias("w"))
+    c = w.groupBy("url", "w.word").agg(F.count("w.pos").alias("n"), F.min("w.pos").alias("pos"), F.sum("w.k").alias("k"))
+    rank = F.row_number().over(Window.partitionBy("url").orderBy(F.desc("n"), "pos"))
+    c = c.withColumn("n", F.when((F.col("n") > 0) & (rank <= k), F.col("n"))).filter("n is not null or k > 0")
+    tf = F.when(F.col("n").isNull(), MISS * F.pow(F.lit(float(HIT)), F.col("k") - 1)).otherwise(F.col("n") * F.pow(F.lit(float(HIT)), F.col("k")))
+    return c.select("url", "word", F.least(tf, F.lit(float(MOST))).cast("long").alias("tf"))
 
 
 def postings(pages: DataFrame) -> DataFrame:
     """(word, url, tf, weight) of English pages."""
-    p = english(pages)
-    return boosted(term_counts(p, "url", "text"), p).select("word", "url", "tf", F.lit(0.0).alias("weight"))
+    return boosted(english(pages)).select("word", "url", "tf", F.lit(0.0).alias("weight"))
 
 
 def keywords(words: DataFrame) -> DataFrame:
@@ -63,8 +73,14 @@ def keywords(words: DataFrame) -> DataFrame:
 
 
 def metadata(pages: DataFrame, words: DataFrame) -> DataFrame:
-    p = parsed(pages).filter("language = 'en'").select("url", "title", "description", "summary_text")
-    return p.join(keywords(words), "url")
+    """(url, title, description, summary_text, keywords) of indexed pages."""
+    own = parsed(pages).filter("language = 'en'").groupBy("url").agg(F.min(F.struct("summary_text", "title", "description")).alias("x"))
+    return own.select("url", "x.*").join(keywords(words), "url")
+
+
+def handoff(words: DataFrame) -> DataFrame:
+    """The urls of indexed pages, for whoever indexes their images."""
+    return words.select("url").distinct()
 
 
 def dictionary(docs: DataFrame, text_col: str) -> DataFrame:
@@ -72,8 +88,16 @@ def dictionary(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def write_index(words: DataFrame, path: str) -> None:
-    """Postings with word and weight order inside each file, which serve word lookups."""
-    words.repartition("word").sortWithinPartitions("word", F.desc("weight"), "url").write.parquet(path)
+    """Postings dealt by word and in word and weight order inside each file, so that a word's lookup skips what holds others.
+
+    A word that very many pages have spans several ranges.
+    """
+    words.repartitionByRange("word", F.desc("weight"), "url").sortWithinPartitions("word", F.desc("weight"), "url").write.parquet(path)
+
+
+def lookup(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
+    """Postings of some words; the filter reaches the scan, which leaves out row groups by their words."""
+    return spark.read.parquet(path).filter(F.col("word").isin(words))
 
 
 def changed(pages: DataFrame, stored: DataFrame, ts: str = "last_crawled") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..sources.store import once
 
 # fixed values: host -> (path prefix, allowed, adjustment, reason), in order
 RULES = {
@@ -37,11 +38,18 @@ def _say(allowed: bool, adjustment: float, reason: str) -> Column:
     return F.struct(F.lit(allowed).alias("allowed"), F.lit(adjustment).alias("adjustment"), F.lit(reason).alias("reason"))
 
 
-def evaluate(url: Column, allowed: Column) -> Column:
-    """(allowed, adjustment, reason) of a url; null if it has no host. The first rule that holds decides."""
-    host = urls.host_of(url)
-    path = urls.normalize_path(urls.decoded_path(url))
-    seg = urls.path_segments(path)
+def decide(df: DataFrame, url: str, allowed: Column, into: str = "d") -> DataFrame:
+    """Add (allowed, adjustment, reason) of a url column; null if the url has no host. The first rule that holds decides.
+
+    Host and path segments are evaluated once and then only compared.
+    """
+    path = urls.normalize_path(urls.decoded_path(F.col(url)))
+    df = once(df, _host=urls.host_of(F.col(url)), _path=path)
+    df = once(df, _seg=urls.path_segments(F.col("_path")))
+    return once(df, **{into: _decision(F.col("_host"), F.col("_path"), F.col("_seg"), allowed)}).drop("_host", "_path", "_seg")
+
+
+def _decision(host: Column, path: Column, seg: Column, allowed: Column) -> Column:
     third = F.try_element_at(seg, F.lit(3))
     out = F.when(host.isNull(), F.lit(None)).when((F.size(allowed) > 0) & ~F.array_contains(allowed, host), _say(False, 0.0, "host not allowed"))
     for name, rules in RULES.items():

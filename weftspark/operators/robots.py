@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-AGENT = "SearchEngineSpider/1.0"
+from ..functions import text
+from ..sources.store import numbered
+
+#: The name under which a crawler of this library reads rules; callers give their own.
+AGENT = "weftspark/1.0"
 
 
 def parse(lines: DataFrame, agent: str = AGENT) -> DataFrame:
@@ -32,10 +36,26 @@ def allowed(path: Column, allow: Column, disallow: Column) -> Column:
     return hit(allow) | ~hit(disallow)
 
 
-def schedule(requests: DataFrame, order: str, rate: Column | float = 2.0) -> DataFrame:
-    """Earliest start of each request in seconds: a bucket of one token for each host, refilled `rate` times a second."""
-    n = F.row_number().over(Window.partitionBy("host").orderBy(order))
-    return requests.withColumn("start_s", (n - 1) / (rate if isinstance(rate, Column) else F.lit(rate)))
+def schedule(requests: DataFrame, order: str, rate: float = 2.0, delays: DataFrame | None = None) -> DataFrame:
+    """Earliest start of each request in seconds: a bucket of one token for each host, refilled `rate` times a second.
+
+    `delays` is (host, delay): a host's positive crawl delay takes the place of the rate. Requests of a host are numbered
+    in ranges, so a host of any size is spread over tasks.
+    """
+    out = numbered(requests, "host", order, "_n")
+    own = F.lit(rate)
+    if delays is not None:
+        out = out.join(delays.select("host", "delay"), "host", "left")
+        own = F.coalesce(text.rps(F.col("delay")), own)
+    return out.withColumn("start_s", F.col("_n") / own).drop("_n", "delay")
+
+
+def cached(rules: DataFrame, asked: DataFrame, now: Column, seconds: int = 3600) -> DataFrame:
+    """Rules of asked hosts that are not older than their time to live, and for the others, which are to be fetched again,
+    an entry that allows all (as after a fetch that fails)."""
+    none = F.array().cast("array<string>")
+    got = asked.select("host").distinct().join(fresh(rules, "fetched_at", now, seconds), "host", "left")
+    return got.select("host", F.coalesce("allow", none).alias("allow"), F.coalesce("disallow", none).alias("disallow"), "delay", F.coalesce("fetched_at", now).alias("fetched_at"))
 
 
 def fresh(rows: DataFrame, ts: str, now: Column, seconds: int = 3600) -> DataFrame:

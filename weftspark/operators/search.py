@@ -5,18 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import stage
 
-def tfidf(words: DataFrame) -> DataFrame:
-    """(word, url, tf, weight): weight = tf * ln(N / df)."""
-    n = words.select(F.count_distinct("url").alias("n"))
-    df = words.groupBy("word").agg(F.count_distinct("url").alias("df"))
+
+def tfidf(words: DataFrame, kept: bool = False) -> DataFrame:
+    """(word, url, tf, weight): weight = tf * ln(N / df). Postings are written once, unless they are read from a table (kept)."""
+    words = words if kept else stage(words.select("word", "url", "tf"), "postings")
+    n = words.select(F.count_distinct("url").alias("n"))  # one row
+    df = words.groupBy("word").agg(F.count("*").alias("df"))
     return words.join(df, "word").crossJoin(F.broadcast(n)).select("word", "url", "tf", (F.col("tf") * F.log(F.col("n") / F.col("df"))).alias("weight"))
 
 
-def search(weighted: DataFrame, query: str, k: int = 20, ranks: DataFrame | None = None, share: float = 1.0) -> DataFrame:
-    """The k best urls for a query: summed weights of its terms, plus `share` times the url's rank."""
-    terms = query.lower().split()
-    hits = weighted.filter(F.col("word").isin(terms)).groupBy("url").agg(F.sum("weight").alias("score"), F.count("*").alias("terms"))
+def search(words: DataFrame, query: str, k: int = 20, ranks: DataFrame | None = None, share: float = 1.0, metadata: DataFrame | None = None, kept: bool = False) -> DataFrame:
+    """The k best urls for a query: summed tf-idf weights of its terms, plus `share` times the url's rank, with
+    the titles of `metadata` where given. Only the postings of the query's terms are weighed."""
+    words = words if kept else stage(words.select("word", "url", "tf"), "postings")
+    n = words.select(F.count_distinct("url").alias("n"))  # one row
+    hits = words.filter(F.col("word").isin(query.lower().split()))
+    df = hits.groupBy("word").agg(F.count("*").alias("df"))
+    hits = hits.join(df, "word").crossJoin(F.broadcast(n)).groupBy("url").agg(F.sum(F.col("tf") * F.log(F.col("n") / F.col("df"))).alias("score"), F.count("*").alias("terms"))
     if ranks is not None:
         hits = hits.join(ranks, "url", "left").select("url", (F.col("score") + share * F.coalesce("rank", F.lit(0.0))).alias("score"), "terms")
-    return hits.orderBy(F.desc("score"), "url").limit(k)
+    best = hits.orderBy(F.desc("score"), "url").limit(k)
+    return best if metadata is None else best.join(metadata, "url", "left")

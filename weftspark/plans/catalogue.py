@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup, text, urls
-from ..operators import frontier, graph, index, policy, robots, search
+from ..operators import frontier, graph, index, robots, search
 from ..sources.pages import table
-from . import fixtures as fx
+from ..sources.store import once
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -37,8 +37,8 @@ PARTS = r"""
    regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?([^#]*))?(#.*)?$', 5) as query from pages),
  normal as (select page_id, url, html, host, path, lower(scheme) || '://' || regexp_replace(host, '^www\.', '') || regexp_replace(path, '/$', '') ||
    case when q = '' then '' else '?' || q end as nurl from (select *, array_to_string(list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' and
-   lower(string_split(x, '=')[1]) not in ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid', 'ref'))), '&') as q from parts)
-   where lower(scheme) in ('http', 'https') and host <> '')"""
+   lower(string_split(x, '=')[1]) not in (TRACKING))), '&') as q from parts)
+   where lower(scheme) in ('http', 'https') and host <> '')""".replace("TRACKING", _list(urls.TRACKING))
 
 TOKENS = "list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({x}), '([;@#$%&?!\\[\\](){{}}<>\"…]|--)', ' \\1 ', 'g'), '([:,])([^\\d])', ' \\1 \\2', 'g'), '([:,])$', ' \\1', 'g'), '\\.(\\s|$)', ' . \\1', 'g'), '(''s|''re|''ve|''ll|''d|''m|n''t)(\\s|$)', ' \\1 \\2', 'g'), '\\s+'), lambda w: regexp_matches(w, '^[\\p{{L}}\\p{{N}}]+$'))"
 
@@ -49,16 +49,23 @@ def _tokens(x: str) -> str:
     return f"list_filter({TOKENS.format(x=x)}, lambda w: w not in ({EN}))"
 
 
-def _decode(x: str) -> str:
-    for name, char in markup.ENTITIES:
-        x = f"replace({x}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
-    return x
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_WINDOWS = " ".join(f"when {n} then {_quoted(c)}" for n, c in markup.WINDOWS.items())
+_NUMBER = f"case when v <= 0 or v > 1114111 or v between 55296 and 57343 then chr(65533) else case v {_WINDOWS} else chr(v::int) end end"
 
 
 PARAGRAPHS = rf"""
  pieces as (select page_id, nurl, unnest(string_split(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'g'), '(?i)<p(\s[^>]*)?>', chr(1), 'g'), chr(1))) as piece,
    generate_subscripts(string_split(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'g'), '(?i)<p(\s[^>]*)?>', chr(1), 'g'), chr(1)), 1) as k from normal),
- paras as (select page_id, nurl, k - 1 as pos, trim(regexp_replace({_decode("regexp_replace(string_split(regexp_replace(piece, '" + markup.P_END + "', chr(2), 'g'), chr(2))[1], '<[^>]*>', '', 'g')")}, '\[.*?\]', '', 'g')) as para from pieces where k > 1),
+ raws as (select page_id, nurl, k, regexp_replace(string_split(regexp_replace(piece, '{markup.P_END}', chr(2), 'g'), chr(2))[1], '<[^>]*>', '', 'g') as raw from pieces where k > 1),
+ reads as (select page_id, nurl, k, unnest(regexp_extract_all(raw, '{markup.PIECES}')) as p, generate_subscripts(regexp_extract_all(raw, '{markup.PIECES}'), 1) as i from raws),
+ codes as (select *, case when len(p) < 4 or p[1:2] <> '&#' then null when lower(p[3:3]) = 'x' then ('0x' || regexp_replace(p[4:], ';', ''))::bigint else regexp_replace(p[3:], ';', '')::bigint end as v from reads),
+ chars as (select page_id, nurl, k, i, case when v is not null then {_NUMBER} when len(p) < 3 or p[1:1] <> '&' then p else coalesce(named.char, p) end as c from codes left join (select unnest([{_list(markup.NAMED)}]) as name, unnest([{_list(markup.NAMED.values())}]) as char) as named on p = '&' || name || ';'),
+ decoded as (select r.page_id, r.nurl, r.k, coalesce(string_agg(c.c, '' order by c.i), '') as body from raws r left join chars c on r.page_id is not distinct from c.page_id and r.nurl = c.nurl and r.k = c.k group by all),
+ paras as (select page_id, nurl, k - 1 as pos, trim(regexp_replace(body, '\[.*?\]', '', 'g')) as para from decoded),
  texts as (select n.page_id, n.nurl, coalesce(string_agg(p.para, ' ' order by p.pos), '') as body from normal n left join paras p using (page_id) group by all)"""
 
 LINKS = r"""
@@ -113,10 +120,9 @@ def allowlist_semi(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").filter(urls.is_allowed(F.col("url"), urls.allowed_domains(F.lit(ALLOW)))).select("page_id", "url")
 
 
-@query("select * from (values " + ", ".join(f"({i}, {str(ok).lower()}, {adj}::double, '{why}')" for i, (_, ok, adj, why) in enumerate(fx.POLICY)) + ") as t(n, allowed, adjustment, reason)")
-def policy_decisions(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, u) for i, (u, *_) in enumerate(fx.POLICY)], "n int, url string")
-    return rows.select("n", policy.evaluate(F.col("url"), urls.allowed_domains(F.lit(urls.DEFAULT_ALLOWED))).alias("d")).select("n", "d.*")
+@query(f"with {PARTS} select page_id, url from parts where regexp_replace(host, '^www\\.', '') in ('m.theres.example.net', 'thther.example.org', 'ththre.example.com', 'm.ththth.example.net')")
+def allowlist_semi(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").filter(urls.is_allowed(F.col("url"), urls.allowed_domains(F.lit(ALLOW)))).select("page_id", "url")
 
 
 # ---------------------------------------------------------------- links and graph
@@ -127,30 +133,10 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.explode(markup.links(F.col("html"), F.col("url"))).alias("link"))
 
 
-@query("select * from (values " + ", ".join(f"('{u}', '{link}')" for u, link in fx.HTML_LINKS) + ") as t(url, link)")
-def nofollow_links(spark: SparkSession, d: str) -> DataFrame:
-    return fx.html(spark).select("url", F.explode(markup.links(F.col("html"), F.col("url"))).alias("link"))
-
-
-@query("select * from (values " + ", ".join(f"('{u}', {str(a).lower()}, {str(b).lower()})" for u, a, b in fx.HTML_ROBOTS) + ") as t(url, noindex, nofollow)")
-def robots_meta(spark: SparkSession, d: str) -> DataFrame:
-    return fx.html(spark).select("url", markup.directives(F.col("html")).alias("x")).select("url", "x.*")
-
-
-@query("select * from (values " + ", ".join(f"('{u}', '{s}', '{a}')" for u, s, a in fx.HTML_IMAGES) + ") as t(page, src, alt)")
-def page_images(spark: SparkSession, d: str) -> DataFrame:
-    return graph.images(fx.html(spark))
 
 
-@query("select * from (values " + ", ".join(f"('{s}', '{u}', '{a}')" for u, s, a in fx.LAST_IMAGES) + ") as t(src, page, alt)")
-def image_last_writer(spark: SparkSession, d: str) -> DataFrame:
-    return graph.last_image_writer(graph.images(fx.html(spark)))
 
 
-@query("select * from (values " + ", ".join(f"('{u}', {fx.sql(t)}, {fx.sql(x)})" for u, t, x in fx.HTML_TITLES) + ") as t(url, title, description)")
-def title_description(spark: SparkSession, d: str) -> DataFrame:
-    return fx.html(spark).select("url", markup.title(F.col("html")).alias("title"), markup.description(F.col("html")).alias("description"))
-
 
 @query(f"with {PARTS}, {LINKS} select n.nurl as url, coalesce(string_agg(e.dst, ' ' order by e.dst), '') as links from (select distinct nurl from normal) n left join edges e on n.nurl = e.src group by 1")
 def outlinks(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +145,7 @@ def outlinks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {PARTS}, {LINKS} select dst as url, string_agg(src, ' ' order by src) as links from edges group by 1")
 def backlinks(spark: SparkSession, d: str) -> DataFrame:
-    return graph.backlinks(graph.edges(table(spark, d, "pages"))).select("url", F.array_join("links", " ").alias("links"))
+    return graph.backlinks(graph.edges(table(spark, d, "pages"))).filter("part = 0").select("url", F.array_join("links", " ").alias("links"))
 
 
 @query(f"with {PARTS}, {LINKS} select url, sum(o)::bigint as out_degree, sum(i)::bigint as in_degree from (select src as url, 1 as o, 0 as i from edges union all select dst, 0, 1 from edges) group by 1")
@@ -167,16 +153,16 @@ def degree(spark: SparkSession, d: str) -> DataFrame:
     return graph.degrees(graph.edges(table(spark, d, "pages")))
 
 
-def _rank_sql(rounds: int) -> str:
-    out = [f"with {PARTS}, {LINKS}, nodes as (select src as url from edges union select dst from edges), n as (select count(*)::double as n from nodes), deg as (select src, count(*)::double as deg from edges group by 1), r0 as (select url, 1.0 / n as r from nodes, n)"]
+def _rank_ctes(rounds: int) -> str:
+    out = ["nodes as (select src as url from edges union select dst from edges), nn as (select count(*)::double as nn from nodes), deg as (select src, count(*)::double as deg from edges group by 1), r0 as (select url, 1.0 / nn as r from nodes, nn)"]
     for i in range(rounds):
-        out.append(f"r{i + 1} as (select v.url, 0.15 / max(n.n) + 0.85 * coalesce(sum(r.r / deg.deg), 0) as r from nodes v cross join n left join edges e on e.dst = v.url left join r{i} r on r.url = e.src left join deg on deg.src = e.src group by 1)")
-    return ", ".join(out) + f" select url, round(r, 9)::double as rank from r{rounds}"
+        out.append(f"r{i + 1} as (select v.url, 0.15 / max(nn.nn) + 0.85 * coalesce(sum(r.r / deg.deg), 0) as r from nodes v cross join nn left join edges e on e.dst = v.url left join r{i} r on r.url = e.src left join deg on deg.src = e.src group by 1)")
+    return ", ".join(out)
 
 
-@query(_rank_sql(3))
+@query(f"with {PARTS}, {LINKS}, {_rank_ctes(5)} select url, round(r, 9)::double as rank from r5")
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return graph.pagerank(graph.edges(table(spark, d, "pages")), 0.85, 3).select("url", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(graph.edges(table(spark, d, "pages")), 0.85, 5).select("url", F.round("rank", 9).alias("rank"))
 
 
 # ---------------------------------------------------------------- text and index
@@ -197,9 +183,9 @@ def term_freq(spark: SparkSession, d: str) -> DataFrame:
     return index.term_counts(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "word", "tf")
 
 
-@query(f"with t as (select doc_id, {_tokens('text')} as toks from documents), w as (select doc_id, unnest(toks) as word, generate_subscripts(toks, 1) as pos from t), c as (select doc_id, word, count(*)::bigint as tf, min(pos) as p from w group by 1, 2) select doc_id, word, tf, rn::int as rn from (select *, row_number() over (partition by doc_id order by tf desc, p) as rn from c) where rn <= 20")
+@query(f"with t as (select doc_id, {_tokens('text')} as toks from documents), w as (select doc_id, unnest(toks) as word, generate_subscripts(toks, 1) as pos from t), c as (select doc_id, word, count(*)::bigint as tf, min(pos) as p from w group by 1, 2) select doc_id, word, tf, rn::int as rn from (select *, row_number() over (partition by doc_id order by tf desc, p) as rn from c) where rn <= 1000")
 def top_words(spark: SparkSession, d: str) -> DataFrame:
-    return index.top_words(index.term_counts(table(spark, d, "documents"), "doc_id", "text"), "doc_id", 20).select("doc_id", "word", "tf", "rn")
+    return index.top_words(index.term_counts(table(spark, d, "documents"), "doc_id", "text"), "doc_id", 1000).select("doc_id", "word", "tf", "rn")
 
 
 @query(f"select distinct unnest({_tokens('text')}) as word from documents")
@@ -209,17 +195,17 @@ def dictionary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select doc_id, v.lang as language from (select doc_id, {_language('')} as v from (select doc_id, {TOKENS.format(x='substring(text, 1, 1000)')} as toks from documents))".replace("select doc_id, v.lang as language", "select doc_id, case when v.n < 0 then v.lang else 'unknown' end as language"))
 def language_vote(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.language(F.col("text")).alias("language"))
+    docs = once(table(spark, d, "documents").select("doc_id", "text"), sample=text.sample(F.col("text")))
+    return docs.select("doc_id", text.vote(F.col("sample"))["language"].alias("language"))
 
 
 PARSED = f"with {PARTS}, {PARAGRAPHS}, sums as (select page_id, nurl, body, array_to_string(string_split_regex(trim(body), '\\s+')[1:500], ' ') as summary from texts), voted as (select page_id, nurl, body, {_language('')} as v from (select *, {TOKENS.format(x='substring(summary, 1, 1000)')} as toks from sums)), english as (select page_id, nurl, {_tokens('body')} as toks from voted where v.n < 0 and v.lang = 'en')"
 POSTINGS = f"{PARSED}, w as (select nurl, unnest(toks) as word, generate_subscripts(toks, 1) as pos from english), c as (select nurl, word, count(*) as tf, min(pos) as p from w group by 1, 2), top as (select nurl, word, tf from (select *, row_number() over (partition by nurl order by tf desc, p) as rn from c) where rn <= 1000), ut as (select nurl, word, count(*) as k from (select nurl, unnest(string_split_regex(lower(nurl), '[.,\\-_/+:()]')) as word from english where len(toks) > 0) where word <> '' and word not in ({POP}) group by 1, 2), post as (select coalesce(top.nurl, ut.nurl) as url, coalesce(top.word, ut.word) as word, (case when k is null then tf when tf is null then 10 * pow(50, k - 1) else tf * pow(50, k) end)::bigint as tf from top full join ut on top.nurl = ut.nurl and top.word = ut.word)"
 
 
-@query(f"{PARSED} select page_id, nurl as url from english where len(toks) > 0")
+@query(f"{PARSED} select nurl as url from english where len(toks) > 0")
 def english_only(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages").withColumn("text", markup.page_text(F.col("html"))).filter(text.language(text.summary(F.col("text"))) == "en")
-    return p.filter(F.size(text.tokens(F.col("text"))) > 0).select("page_id", urls.normalize_url(F.col("url")).alias("url"))
+    return index.english(table(spark, d, "pages")).select("url")
 
 
 @query(f"{POSTINGS} select word, url, tf, 0.0::double as weight from post")
@@ -267,38 +253,15 @@ def insert_absent(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"with {PARTS}, {LINKS}, f as (select nurl as url, (min(page_id) % 7)::double as score from normal group by 1), visited as (select nurl as url from normal where page_id % 11 = 0), "
-    "popped as (select * from f where url not in (select url from visited) order by score, url limit 50), "
+    "popped as (select * from f where url not in (select url from visited) order by score, url limit 100), "
     "cand as (select regexp_replace(regexp_replace(l.link, '://www\\.', '://'), '/$', '') as url, min(p.score + 1) as score from popped p join links l on l.nurl = p.url where not contains(l.link, '%') and not contains(l.link, 'w/index.php') group by 1) "
     "select url, greatest(-1000, least(min(score), 10000))::double as score from (select * from f where url not in (select url from popped) union all select * from cand) group by 1"
 )
 def frontier_round(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages").withColumn("n", urls.normalize_url(F.col("url")))
-    f = p.groupBy(F.col("n").alias("url")).agg((F.min("page_id") % 7).cast("double").alias("score"))
-    visited = p.filter("page_id % 11 = 0").select(F.col("n").alias("url")).distinct()
-    none = F.array().cast("array<string>")
-    batch = frontier.pop(f, visited, 50)
-    at = batch.join(p.select(F.col("n").alias("url"), F.col("url").alias("raw_url"), "html"), "url")
-    at = at.select("score", F.explode(markup.links(F.col("html"), F.col("raw_url"))).alias("raw")).filter(urls.is_valid_url(F.col("raw")))
-    at = at.withColumn("d", policy.evaluate(F.col("raw"), none)).filter("d.allowed")
-    cand = at.groupBy(urls.normalize_url(F.col("raw")).alias("url")).agg(F.min(F.col("score") + 1 + F.col("d.adjustment")).alias("score"))
-    return frontier.merge(f.join(batch.select("url"), "url", "left_anti"), cand)
-
-
-@query("select * from (values " + ", ".join(f"('{u}', {s}::double, {r})" for u, s, r in fx.CRAWLED) + ") as t(url, score, round)")
-def bfs_rounds(spark: SparkSession, d: str) -> DataFrame:
-    start = spark.createDataFrame([("https://a.test", 0.0)], "url string, score double")
-    return frontier.crawl(start, fx.site(spark), F.array().cast("array<string>"), 3, 2).select("url", "score", "round")
-
-
-@query("select * from (values " + ", ".join(f"('{h}', '{a}', '{b}', {fx.sql(c)}::double)" for h, a, b, c in fx.ROBOTS_PARSED) + ") as t(host, allow, disallow, delay)")
-def robots_parse(spark: SparkSession, d: str) -> DataFrame:
-    return robots.parse(fx.robots(spark)).select("host", F.array_join("allow", " ").alias("allow"), F.array_join("disallow", " ").alias("disallow"), "delay")
-
-
-@query("select * from (values " + ", ".join(f"('{h}', '{p}', {str(ok).lower()})" for h, p, ok in fx.ROBOTS_ALLOWED) + ") as t(host, path, ok)")
-def robots_allowed(spark: SparkSession, d: str) -> DataFrame:
-    asked = spark.createDataFrame([(h, p) for h, p, _ in fx.ROBOTS_ALLOWED], "host string, path string")
-    return asked.join(robots.parse(fx.robots(spark)), "host", "left").select("host", "path", robots.allowed(F.col("path"), F.col("allow"), F.col("disallow")).alias("ok"))
+    p = table(spark, d, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("url"), F.col("url").alias("base"), "html")
+    f = p.groupBy("url").agg((F.min("page_id") % 7).cast("double").alias("score"))
+    visited = p.filter("page_id % 11 = 0").select("url").distinct()
+    return frontier.step(f, visited, p, F.array().cast("array<string>"))[0]
 
 
 @query(f"with {PARTS} select page_id, (row_number() over (partition by regexp_replace(host, '^www\\.', '') order by page_id) - 1) / 2.0::double as start_s from parts")
@@ -317,10 +280,6 @@ def rfc1123_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", "written", (text.from_rfc1123(F.col("written")).cast("timestamp_ntz") == F.date_trunc("second", "o_orderdate").cast("timestamp_ntz")).alias("same"))
 
 
-@query("select * from (values " + ", ".join(f"('{u}')" for u in fx.FETCHED_OK) + ") as t(url)")
-def status_filter(spark: SparkSession, d: str) -> DataFrame:
-    return index.fetched(fx.fetches(spark)).select("url")
-
 
 TFIDF = f"{POSTINGS}, n as (select count(distinct url)::double as n from post), df as (select word, count(distinct url)::double as df from post group by 1), wt as (select word, url, tf, tf * ln(n / df) as weight from post join df using (word) cross join n)"
 
@@ -332,4 +291,4 @@ def tfidf(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{TFIDF} select url, round(sum(weight), 6)::double as score, count(*)::bigint as terms from wt where word in ('thed', 'erand', 'thtion') group by 1 order by 2 desc, 1 limit 20")
 def ranked_search(spark: SparkSession, d: str) -> DataFrame:
-    return search.search(search.tfidf(index.postings(table(spark, d, "pages"))), "thed erand thtion", 20).select("url", F.round("score", 6).alias("score"), "terms")
+    return search.search(index.postings(table(spark, d, "pages")), "thed erand thtion", 20).select("url", F.round("score", 6).alias("score"), "terms")

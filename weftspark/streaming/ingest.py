@@ -22,6 +22,19 @@ def index_stream(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return pages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stop(query: StreamingQuery, timeout: int = 60) -> None:
+    """Let the batch at hand end, then stop; its checkpoint makes the next start go on after it."""
+    query.processAllAvailable()
+    query.stop()
+    query.awaitTermination(timeout)
+
+
+def waiting(spark: SparkSession, path: str, done: list[str] = ()) -> int:
+    """Files of the queue that no batch has taken yet, for back-pressure on whoever fills it."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    return files.filter(~files.path.isin(list(done))).count() if done else files.count()
+
+
 def latest(spark: SparkSession, out: str) -> DataFrame:
     """Postings of all batches; of a word and url those of the last batch count."""
     return index.last(spark.read.parquet(out), ["word", "url"], "batch").drop("batch")
