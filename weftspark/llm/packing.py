@@ -14,11 +14,10 @@ from .common import materialize, tune
 from .wordpieces import encoder
 
 CAPACITY = 2048
-#: Pieces that one task packs together; each such group leaves about one sequence underfull.
-GROUP = 8192
+#: Pieces that one task packs together, and sequences, the emptiest, that such a group gives back to be packed with other groups'.
+GROUP, OPEN = 8192, 16
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", sequence_id long, offset long"
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
@@ -139,24 +138,38 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """Place every row of pieces() in a sequence of at most `capacity` ids, as few as can be found.
 
-    Pieces are dealt by a random key in groups of about `group` and each group is packed alone. Ties are
-    broken by (doc_id, piece); repeated ids are separate documents; an empty table gives no rows.
+    Pieces are dealt by a random key in groups of about `group` and each group is packed alone; the emptiest OPEN sequences
+    of each are then opened, and their pieces packed together in the same way until one group is left. Ties are
+    broken by (doc_id, piece); repeated ids are separate documents; other columns are ignored; an empty table gives no rows.
     """
-    cut = materialize(cut.withColumn("pid", F.monotonically_increasing_id()), "pieces")
-    groups = max(1, -(-cut.count() // group))
-    names = cut.columns[:5]
-
-    def place(df):
-        df = df.sort_values(["doc_id", "piece", "pid"], kind="stable").reset_index(drop=True)
-        lengths = df["length"].to_numpy(np.int64)
-        bins = local_search(best_fit(lengths, capacity), lengths, capacity)
-        seq, off = np.empty(len(df), np.int64), np.empty(len(df), np.int64)
-        for k, b in enumerate(bins):
-            seq[b] = k
-            off[b] = np.cumsum(lengths[b]) - lengths[b]
-        out = df[names].copy()
-        out["sequence_id"] = (np.int64(df["deal"].iloc[0]) << 32) + seq
-        out["offset"] = off
-        return out
-
-    return cut.withColumn("deal", F.pmod(F.xxhash64("pid"), F.lit(groups))).groupBy("deal").applyInPandas(place, PACKED)
+    names = [c.split()[0] for c in PIECES.split(", ")]
+    cut = materialize(cut.select(*names).withColumn("pid", F.monotonically_increasing_id()), "pieces")
+
+    def placer(level: int, last: bool):
+        def place(t: pa.Table) -> pa.Table:
+            t = t.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("pid", "ascending")])
+            lengths = t.column("length").to_numpy()
+            bins = local_search(best_fit(lengths, capacity), lengths, capacity)
+            fill = np.array([int(lengths[b].sum()) for b in bins])
+            open_ = set() if last else {int(k) for k in np.argsort(fill, kind="stable")[:OPEN] if fill[k] < capacity}
+            seq, off, again = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), np.zeros(len(lengths), bool)
+            for k, b in enumerate(bins):
+                seq[b], again[b] = k, k in open_
+                off[b] = np.cumsum(lengths[b]) - lengths[b]
+            seq += (level << 56) + (t.column("deal")[0].as_py() << 32)
+            return t.drop_columns(["deal"]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off)).append_column("again", pa.array(again))
+
+        return place
+
+    level, rest, done, n = 0, cut, None, cut.count()
+    while True:
+        groups = max(1, -(-n // group))
+        dealt = rest.withColumn("deal", F.pmod(F.xxhash64("pid", F.lit(level)), F.lit(groups)))
+        placed = dealt.groupBy("deal").applyInArrow(placer(level, groups == 1), f"{PIECES}, pid long, sequence_id long, offset long, again boolean")
+        placed = placed if groups == 1 else materialize(placed, "packed")
+        settled = placed.filter("not again").drop("pid", "again")
+        done = settled if done is None else done.unionByName(settled)
+        if groups == 1:
+            return done
+        rest, level = placed.filter("again").select(*names, "pid"), level + 1
+        n = rest.count()
