@@ -32,6 +32,9 @@ PARTS = 4
 RATIO = 1.5
 #: Sets of a block that one task holds; a larger block is cut into parts, and parts are compared in pairs.
 PART = 512
+#: Rows, of 24 bytes each, up to which the sets in question are sent to every executor (10 MB); more of them are joined by a
+#: shuffle of the texts.
+BROADCAST_ROWS = 400_000
 #: Texts in which common blocks are counted, how many of them make a block common, and the most common blocks that are told
 #: apart. They settle the order in which sets emit their blocks, never what is found.
 SAMPLE, COMMON, COMMONS = 4096, 6, 100_000
@@ -348,12 +351,14 @@ def grouped(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, id_col: str
     def linked(close: DataFrame, name: str) -> DataFrame:
         """The pairs that are links; whole sets are made anew for the sets in question only."""
         wanted = materialize(close.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(node, "fp").select("fp", "doc", F.col("th").alias("of")), "wanted")
+        if wanted.count() <= BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
         texts = rows.join(wanted, (rows.th == wanted.of) & rows.doc_id.eqNullSafe(wanted.doc)).select("fp", "text")
         # repeated rows may give a set twice
         whole = materialize(texts.mapInArrow(hashes, "fp long, h binary").dropDuplicates(["fp"]), "candidate-sets")
         both = close.join(whole.select(F.col("fp").alias("b"), F.col("h").alias("hb")), "b").join(whole.select(F.col("fp").alias("a"), F.col("h").alias("ha")), "a")
         out = materialize(both.select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long"), name)
-        release(wanted, whole)
+        release(whole)
         return out
 
     close = materialize(compared(rest.unionByName(heads), stars, threshold), "star-pairs")
