@@ -17,7 +17,9 @@ from ..sources.store import folder, once
 from ..streaming import ingest
 from .catalogue import LINKS, PARAGRAPHS, PARTS, POSTINGS, TFIDF, _language, _list, _quoted, _rank_ctes, _tokens, query, TOKENS
 
-ID = F.col("page_id")
+def number() -> Column:
+    """The page's number; columns need a session, so none is made on import."""
+    return F.col("page_id")
 
 
 def changed_parts(html: str) -> str:
@@ -53,65 +55,77 @@ _SHAPE = f"""case when n < 2 then (0.0, 'github fallback') when seg[1] in ({_lis
   from p left join hit using (page_id) left join r on r.host = p.host and r.ord = hit.ord""")
 def policy_decisions(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda words, at: F.element_at(F.array(*map(F.lit, words)), (at % len(words) + 1).cast("int"))
-    u = pages(spark, d).select("page_id", F.concat(F.lit("https://"), pick(HOSTS, ID), pick(PATHS, F.floor(ID / len(HOSTS)))).alias("u"))
+    u = pages(spark, d).select("page_id", F.concat(F.lit("https://"), pick(HOSTS, number()), pick(PATHS, F.floor(number() / len(HOSTS)))).alias("u"))
     return policy.decide(u, "u", urls.allowed_domains(F.lit(urls.DEFAULT_ALLOWED))).select("page_id", "d.*")
 
 
 # ---------------------------------------------------------------- markup
 
-NOFOLLOW = F.regexp_replace("html", '<a href="(/[a-mA-M][^"]*)">', '<a rel="external NoFollow" href="$1">')
+def nofollowed() -> Column:
+    return F.regexp_replace("html", '<a href="(/[a-mA-M][^"]*)">', '<a rel="external NoFollow" href="$1">')
+
 
 
 @query(f"with {PARTS}, {LINKS} select page_id, link from links where not regexp_matches(link, '^[^:]*://[^/]*/[a-mA-M]')")
 def nofollow_links(spark: SparkSession, d: str) -> DataFrame:
-    return pages(spark, d, NOFOLLOW).select("page_id", F.explode(markup.links(F.col("html"), F.col("url"))).alias("link"))
+    return pages(spark, d, nofollowed()).select("page_id", F.explode(markup.links(F.col("html"), F.col("url"))).alias("link"))
 
 
 METAS = ['<meta name="ROBOTS" content="NoIndex, follow">', '<meta content="nofollow" name="robots">', "<meta name='robots' content='none'>", '<meta name="robots" content="NOINDEX"><meta name="robots" content=" NoFollow ">', ""]
-DIRECTED = F.concat(F.element_at(F.array(*map(F.lit, METAS)), (ID % 5 + 1).cast("int")), F.col("html"))
+
+
+def directed() -> Column:
+    return F.concat(F.element_at(F.array(*map(F.lit, METAS)), (number() % 5 + 1).cast("int")), F.col("html"))
 
 
 @query("select page_id, page_id % 5 in (0, 2, 3) as noindex, page_id % 5 in (1, 2, 3) as nofollow from pages")
 def robots_meta(spark: SparkSession, d: str) -> DataFrame:
-    return once(pages(spark, d, DIRECTED), x=markup.directives(F.col("html"))).select("page_id", "x.*")
+    return once(pages(spark, d, directed()), x=markup.directives(F.col("html"))).select("page_id", "x.*")
 
 
-@query(f"with {PARTS}, {LINKS} select distinct e.src, e.dst from edges e join normal n on n.nurl = e.src where n.page_id % 5 not in (0, 2, 3)")
+@query(f"with {PARTS}, {LINKS}, own as (select distinct nurl as src, regexp_replace(regexp_replace(link, '://www\\.', '://'), '/$', '') as dst from links where page_id % 5 not in (0, 2, 3)) select src, dst from own where src <> dst")
 def directed_edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.edges(pages(spark, d, DIRECTED))
+    return graph.edges(pages(spark, d, directed()))
+
 
+def pictured() -> Column:
+    return F.regexp_replace("html", '<li><a href="(/[^"]*)">', '<li><img src="$1.png" alt="old"><img alt="$1" src="$1.png"><img src="data:image/png;base64,AA"><a href="$1">')
 
-PICTURED = F.regexp_replace("html", '<li><a href="(/[^"]*)">', '<li><img src="$1.png" alt="old"><img alt="$1" src="$1.png"><img src="data:image/png;base64,AA"><a href="$1">')
 _IMAGES = f"with {PARTS}, {LINKS}, found as (select distinct nurl as page, regexp_replace(parts_root || href || '.png', '://www\\.', '://') as src, href as alt from hrefs where regexp_matches(href, '^[\\x21\\x23-\\x3B\\x3D\\x3F-\\x7E]+$'))"
 
 
 @query(f"{_IMAGES} select page, src, alt from found")
 def page_images(spark: SparkSession, d: str) -> DataFrame:
-    return graph.images(pages(spark, d, PICTURED))
+    return graph.images(pages(spark, d, pictured()))
 
 
 @query(f"{_IMAGES} select src, max(page) as page, arg_max(alt, page) as alt from found group by 1")
 def image_last_writer(spark: SparkSession, d: str) -> DataFrame:
-    return graph.last_image_writer(graph.images(pages(spark, d, PICTURED)))
+    return graph.last_image_writer(graph.images(pages(spark, d, pictured())))
 
 
-_META = lambda text_, when: F.when(when, F.concat(*(F.lit(t) if t != "#" else ID.cast("string") for t in text_))).otherwise("")
-DESCRIBED = F.concat(
-    _META(('<meta property="og:title" content="First ', "#", '"><meta property="og:title" content="Last &amp; ', "#", '">'), ID % 3 == 0), _META(("<META NAME='title' CONTENT='Plain ", "#", "'>"), ID % 2 == 0), _META(('<meta name="description" content="D', "#", '">'), ID % 3 != 1),
-    _META(('<meta property="og:description" content="">', "<meta name=keywords content=k>"), ID % 4 == 0), F.col("html"),
-)
+def described() -> Column:
+    n = number()
+    say = lambda parts, when: F.when(when, F.concat(*(F.lit(t) if t != "#" else n.cast("string") for t in parts))).otherwise("")
+    return F.concat(
+        say(('<meta property="og:title" content="First ', "#", '"><meta property="og:title" content="Last &amp; ', "#", '">'), n % 3 == 0),
+        say(("<META NAME='title' CONTENT='Plain ", "#", "'>"), n % 2 == 0),
+        say(('<meta name="description" content="D', "#", '">'), n % 3 != 1),
+        say(('<meta property="og:description" content="">', "<meta name=keywords content=k>"), n % 4 == 0),
+        F.col("html"),
+    )
 
 
 @query("select page_id, case when page_id % 3 = 0 then 'Last & ' || page_id when page_id % 2 = 0 then 'Plain ' || page_id end as title, case when page_id % 3 <> 1 then 'D' || page_id end as description, case when page_id % 3 = 0 then 'First ' || page_id when page_id % 2 = 0 then 'Plain ' || page_id end as first_title from pages")
 def title_description(spark: SparkSession, d: str) -> DataFrame:
     h = F.col("html")
-    return pages(spark, d, DESCRIBED).select("page_id", markup.title(h).alias("title"), markup.description(h).alias("description"), markup.first_meta(h, "og:title", "title").alias("first_title"))
+    return pages(spark, d, described()).select("page_id", markup.title(h).alias("title"), markup.description(h).alias("description"), markup.first_meta(h, "og:title", "title").alias("first_title"))
 
 
 @query("""select page_id, 'og:title' as key, 'Last & ' || page_id as content from pages where page_id % 3 = 0 union all select page_id, 'title', 'Plain ' || page_id from pages where page_id % 2 = 0
   union all select page_id, 'description', 'D' || page_id from pages where page_id % 3 <> 1 union all select page_id, 'keywords', 'k' from pages where page_id % 4 = 0""")
 def meta_map(spark: SparkSession, d: str) -> DataFrame:
-    return once(pages(spark, d, DESCRIBED), m=markup.meta_map(F.col("html"))).select("page_id", F.explode("m").alias("key", "content"))
+    return once(pages(spark, d, described()), m=markup.meta_map(F.col("html"))).select("page_id", F.explode("m").alias("key", "content"))
 
 
 _REFERENCES = [("the", "&#8217;"), ("nd", "&hearts;"), ("er", "&#x1F600;"), ("ou", "&nosuch;"), ("on", "&#150;"), ("re", "&Eacute;"), ("le", "&amp;lt;"), ("an", "&#0;"), ("th", "&#38;lt;"), ("in", "&NotEqualTilde;")]
@@ -179,7 +193,7 @@ def url_boost(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select page_id, least(0.5 * pow(2, page_id % 7), 8) * 1.25 as wait, case when page_id % 5 > 0 then 1.0 / (page_id % 5) end as rps, greatest(-1000, least((page_id % 9 - 4) * 5000, 10000))::double as score from pages")
 def arithmetic(spark: SparkSession, d: str) -> DataFrame:
-    n = lambda k: (ID % k).cast("double")
+    n = lambda k: (number() % k).cast("double")
     return pages(spark, d).select("page_id", text.backoff(n(7), jitter=F.lit(0.25)).alias("wait"), text.rps(n(5)).alias("rps"), text.clamp((n(9) - 4) * 5000).alias("score"))
 
 
@@ -190,8 +204,8 @@ _CODES, _TYPES = [200, 301, 399, 400, 404, 503], ["text/html", "text/html; chars
 
 @query(f"select page_id, 'text/html' as content_type, least(page_id * 50, 4000)::int as n from pages where [{', '.join(map(str, _CODES))}][page_id % 6 + 1] <= 399 and [{_list(_TYPES)}][page_id % 4 + 1] like 'text/html%'")
 def status_filter(spark: SparkSession, d: str) -> DataFrame:
-    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (ID % len(words) + 1).cast("int"))
-    p = pages(spark, d, F.repeat(F.lit("x"), (ID * 50).cast("int"))).select("*", pick(_CODES).alias("status_code"), pick(_TYPES).alias("content_type"))
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (number() % len(words) + 1).cast("int"))
+    p = pages(spark, d, F.repeat(F.lit("x"), (number() * 50).cast("int"))).select("*", pick(_CODES).alias("status_code"), pick(_TYPES).alias("content_type"))
     return index.fetched(p, 4000).select("page_id", "content_type", F.length("html").alias("n"))
 
 
@@ -201,7 +215,7 @@ def _queue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     key = urls.key("page_data", F.col("url"))
     data = stored.page_row(p).withColumn("page_key", urls.key("page_data", F.col("normalized_url")))
     data = data.withColumn("status_code", F.when(F.col("normalized_url").endswith("/"), F.lit("soon")).otherwise(F.col("status_code")))
-    queue = p.filter("page_id % 2 = 0").select(ID.alias("seq"), F.when(ID % 3 == 0, F.concat(key, F.lit("#gone"))).otherwise(key).alias("page_key"))
+    queue = p.filter("page_id % 2 = 0").select(number().alias("seq"), F.when(number() % 3 == 0, F.concat(key, F.lit("#gone"))).otherwise(key).alias("page_key"))
     return queue, data
 
 
@@ -224,7 +238,7 @@ def outlinks_lookup(spark: SparkSession, d: str) -> DataFrame:
     p = pages(spark, d).withColumn("raw", F.col("url")).withColumn("url", urls.normalize_url(F.col("url")))
     out = graph.outlinks(pages(spark, d)).filter(F.size("links") > 0)
     got = graph.links_of(p.select("page_id", "url"), out)
-    return got.select("page_id", F.when(ID % 4 != 0, F.array_join("links", " ")).alias("links"))
+    return got.select("page_id", F.when(number() % 4 != 0, F.array_join("links", " ")).alias("links"))
 
 
 @query(f"with {PARTS}, {LINKS}, o as (select n.nurl as url, min(n.page_id) as id, coalesce(string_agg(distinct e.dst, ' ' order by e.dst), '') as links from normal n left join edges e on n.nurl = e.src group by 1) select url, case when id % 3 = 0 then links else 'old' end as links from o where id % 3 = 0 or id % 2 = 0")
@@ -337,15 +351,15 @@ def robots_cache(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {PARTS}, {LINKS} select regexp_replace(regexp_replace(l.link, '://www\\.', '://'), '/$', '') as url, min(n.page_id + 1)::double as score from links l join normal n using (page_id) where n.page_id % 5 = 4 and not regexp_matches(l.link, '^[^:]*://[^/]*/t') and not contains(l.link, '%') group by 1")
 def followed_candidates(spark: SparkSession, d: str) -> DataFrame:
-    p = pages(spark, d, DIRECTED).select("page_id", urls.normalize_url(F.col("url")).alias("key"), F.col("url").alias("base"), "html").withColumn("url", F.concat_ws("#", "key", "page_id"))
+    p = pages(spark, d, directed()).select("page_id", urls.normalize_url(F.col("url")).alias("key"), F.col("url").alias("base"), "html").withColumn("url", F.concat_ws("#", "key", "page_id"))
     rules = robots.parse(p.select(urls.host_of(F.col("base")).alias("host")).distinct().select("host", F.explode(F.array(F.struct(F.lit(1).alias("line_no"), F.lit("User-agent: *").alias("line")), F.struct(F.lit(2).alias("line_no"), F.lit("Disallow: /t").alias("line")))).alias("x")).select("host", "x.*"))
-    return frontier.candidates(p.select("url", ID.cast("double").alias("score")), p, F.array().cast("array<string>"), rules)
+    return frontier.candidates(p.select("url", number().cast("double").alias("score")), p, F.array().cast("array<string>"), rules)
 
 
 @query("with recursive t as (select 1::bigint as k, 0 as round union all select unnest([2 * t.k, 2 * t.k + 1]), t.round + 1 from t join pages p on p.page_id = t.k where t.round < 4 and t.k % 7 <> 5) select 'https://s.test/n/' || k as url, round::double as score, round from t")
 def bfs_rounds(spark: SparkSession, d: str) -> DataFrame:
     n = lambda c: c.cast("string")
-    html = F.concat(F.when(ID % 7 == 5, F.lit('<meta name="robots" content="nofollow">')).otherwise(""), F.lit('<a href="'), n(2 * ID), F.lit('">a</a><a href="/n/'), n(2 * ID + 1), F.lit('">b</a>'))
-    site = pages(spark, d, html).select(F.concat(F.lit("https://s.test/n/"), n(ID)).alias("url"), "html")
+    html = F.concat(F.when(number() % 7 == 5, F.lit('<meta name="robots" content="nofollow">')).otherwise(""), F.lit('<a href="'), n(2 * number()), F.lit('">a</a><a href="/n/'), n(2 * number() + 1), F.lit('">b</a>'))
+    site = pages(spark, d, html).select(F.concat(F.lit("https://s.test/n/"), n(number())).alias("url"), "html")
     start = frontier.seed(spark, "https://s.test/n/1/", ["s.test"])
     return frontier.crawl(start, site, F.array().cast("array<string>"), 5).select("url", "score", "round")
