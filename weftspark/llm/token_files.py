@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialize, scratch, tune
+from .common import filesystem, materialize, partitions, scratch, tune
 from .wordpieces import encoder
 
 LENGTH, ROWS = 2048, 64
@@ -111,34 +111,64 @@ INDEX = "shard int, path string, doc_id long, local long, n_tokens long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+ENCODED = "shard int, doc_id long, ids binary"
+#: Stands for a null id when ranges are made.
+LEAST = -(1 << 63)
+
+
+def _bounds(ids: DataFrame, shards: int) -> np.ndarray:
+    """The last id of each shard but the last one; an id of many rows ends several shards. Reads the ids only."""
+    if shards < 2:
+        return np.zeros(0, np.int64)
+    at = [i / shards for i in range(1, shards)]
+    found = ids.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(LEAST)), at, max(10_000, 100 * shards)).alias("at")).first()["at"]
+    return np.sort(np.array(found or [], np.int64))
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, kind: str = "uint16", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write every document's ids, in ascending id order over all shards; returns the index (one row a document).
 
-    Documents are dealt by ranges of the id, so shard order is id order. A null text is empty (only the end
-    id); null ids come first; repeated ids keep one entry a row, ordered by text; other columns are ignored.
+    Texts are encoded where they are read, and only their ids are dealt, by ranges of the document id, so shard order
+    is id order; the rows of an id that fills several ranges are spread over these by a checksum of their ids. A null
+    text is empty (only the end id); null ids come first, beside the least long; repeated ids keep one entry a row, in an order
+    that only their ids set; other columns are ignored.
     Each attempt of a task writes a file of its own, and the index names those of the attempts that counted.
     """
-    tune(docs.sparkSession)
-    folder = scratch(docs.sparkSession, "tokens")
+    spark, dtype = docs.sparkSession, np.dtype(kind)
+    tune(spark)
+    folder = scratch(spark, "tokens")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    shards = partitions(spark)
+    bounds = _bounds(rows.select("doc_id"), shards)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, last = encoder(tokenizer), np.array([end_id], np.uint32)
+        for b in batches:
+            whole = [np.concatenate([np.frombuffer(raw, np.uint32), last]) for raw in enc.encode(b.column(1).to_pylist())]
+            if any(int(ids.max()) > np.iinfo(dtype).max for ids in whole):
+                raise ValueError(f"an id does not fit {dtype}")
+            packed = [ids.astype(dtype).tobytes() for ids in whole]
+            own = b.column(0).cast(pa.int64()).fill_null(LEAST).to_numpy()
+            low, high = np.searchsorted(bounds, own, "left"), np.searchsorted(bounds, own, "right")
+            mark = np.fromiter(map(zlib.crc32, packed), np.int64, len(packed))
+            shard = low + (mark * (high - low + 1) >> 32)
+            yield pa.record_batch({"shard": pa.array(shard, pa.int32()), "doc_id": b.column(0).cast(pa.int64()), "ids": pa.array(packed, pa.binary())})
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, out, enc, last = TaskContext.get().partitionId(), None, encoder(tokenizer), np.array([end_id], np.uint32)
+        shard, out = TaskContext.get().partitionId(), None
         uri = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.arrows"
         for b in batches:
             out = out or SequenceWriter(uri, kind)
-            local, n = [], []
-            for raw in enc.encode(b.column(1).to_pylist()):
-                ids = np.concatenate([np.frombuffer(raw, np.uint32), last])
-                local.append(out.append(ids))
-                n.append(len(ids))
-            yield pa.record_batch({"shard": pa.array([shard] * len(n), pa.int32()), "path": pa.array([uri] * len(n)), "doc_id": b.column(0).cast(pa.int64()), "local": pa.array(local, pa.int64()), "n_tokens": pa.array(n, pa.int64())})
+            whole = [np.frombuffer(raw, dtype) for raw in b.column(1).to_pylist()]
+            local, n = [out.append(ids) for ids in whole], list(map(len, whole))
+            yield pa.record_batch({"shard": pa.array([shard] * len(n), pa.int32()), "path": pa.array([uri] * len(n)), "doc_id": b.column(0), "local": pa.array(local, pa.int64()), "n_tokens": pa.array(n, pa.int64())})
         if out:
             out.close()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return materialize(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, INDEX), "token-index")
+    dealt = rows.mapInArrow(encode, ENCODED).repartitionById(shards, "shard").sortWithinPartitions("doc_id", "ids")
+    return materialize(dealt.select("doc_id", "ids").mapInArrow(write, INDEX), "token-index")
 
 
 def read_tokens(index: DataFrame) -> DataFrame:
