@@ -1,10 +1,11 @@
-"""The queries op1 to op10 over their whole tables, with the operators' production parameters."""
+"""The queries op1 to op13 over their whole tables, with the operators' production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html_text, jaccard, mixing, neardup_vectors, packing, token_files, topk, toxicity, urlgraph, warc
+from . import codebooks, html_text, jaccard, mixing, neardup_vectors, packing, periodic, token_files, topk, toxicity, urlgraph, warc
 from .common import materialize, table
 from .wordpieces import tokenizer_path
 
@@ -56,4 +57,14 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(v, v.filter("vec_id % 50 = 0"), 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_graph, op2_warc_salvage, op3_best_fit_packing, op4_html_text, op5_toxicity, op6_jaccard_join, op7_mix_sources, op8_token_files, op9_vector_near_dup, op10_exact_top_k)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codebooks.compress(table(spark, sf_dir, "embeddings"))
+    checksum = F.lit(None if books is None else codebooks.checksum(books)).cast("string").alias("codebooks_sha256")
+    return codebooks.with_label_errors(coded).select("vec_id", "code", "error", "label_error", checksum)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.runs(periodic.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_graph, op2_warc_salvage, op3_best_fit_packing, op4_html_text, op5_toxicity, op6_jaccard_join, op7_mix_sources, op8_token_files, op9_vector_near_dup, op10_exact_top_k, op11_vector_codes, op13_periodic_runs)}
