@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codebooks, html_text, jaccard, mixing, neardup_vectors, packing, periodic, token_files, topk, toxicity, urlgraph, warc
+from . import codebooks, html_text, jaccard, mixing, neardup_vectors, packing, periodic, retrieval, token_files, topk, toxicity, urlgraph, warc
 from .common import materialize, table
 from .wordpieces import tokenizer_path
 
@@ -63,8 +63,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.with_label_errors(coded).select("vec_id", "code", "error", "label_error", checksum)
 
 
+def op12_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.runs(periodic.with_planted_runs(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_graph, op2_warc_salvage, op3_best_fit_packing, op4_html_text, op5_toxicity, op6_jaccard_join, op7_mix_sources, op8_token_files, op9_vector_near_dup, op10_exact_top_k, op11_vector_codes, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_url_graph, op2_warc_salvage, op3_best_fit_packing, op4_html_text, op5_toxicity, op6_jaccard_join, op7_mix_sources, op8_token_files, op9_vector_near_dup, op10_exact_top_k, op11_vector_codes, op12_retrieval_packing, op13_periodic_runs)}
