@@ -51,6 +51,12 @@ def distinct(texts: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return d[new], t[new], np.diff(np.append(new, len(d)))
 
 
+def document_frequencies(texts: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """How many of the texts have a term in each slot."""
+    at = np.sort(texts * SLOTS + slots(terms))
+    return np.bincount(at[np.concatenate([[True], at[1:] != at[:-1]])] % SLOTS if len(at) else at, minlength=SLOTS)
+
+
 def sort_keys(n: int, texts: np.ndarray, terms: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Two min-hashes of each text's terms of several tokens (all terms, if it has none such), the first one above the second."""
     out = np.full((2, n), np.uint64(2**63 - 1), np.uint64)
@@ -201,9 +207,7 @@ def read(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
             doc_ids, rows = b.column(0).to_pylist(), []
             e = enc.encode(b.column(1).to_pylist())
             keys = sort_keys(len(doc_ids), e.texts, e.terms, e.tokens)
-            text, term, _ = distinct(e.texts, e.terms)
-            at = np.unique(text * SLOTS + slots(term)) % SLOTS
-            df += np.bincount(at, minlength=SLOTS)
+            df += document_frequencies(e.texts, e.terms)
             n_docs, n_terms = n_docs + len(doc_ids), n_terms + len(e.terms)
             for doc, a, z, key in zip(doc_ids, e.bounds.tolist(), e.bounds[1:].tolist(), keys.tolist()):
                 ids, total = e.ids[a:z], z - a
