@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from weftspark.plans import catalogue, crawled  # noqa: F401  its queries join the catalogue
+from weftspark.plans import catalogue, crawled, kept  # noqa: F401  their queries join the catalogue
 
 DATA = "/root/testdata/sf0.001"
 

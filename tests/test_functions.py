@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftspark.functions import markup, urls
 from weftspark.operators import frontier, graph, index
 from weftspark.sources import store
-from weftspark.streaming import ingest
+from weftspark.streaming import ingest, runs
 
 NORMAL = [
     ("HTTP://WWW.Fjord.TEST/Map/North/", "http://fjord.test/Map/North"),
@@ -88,10 +88,11 @@ def test_boost(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("url", "html")
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("url", "html").dropDuplicates(["url"])
     pages.repartition(3).write.parquet(str(tmp_path / "in"))
-    q = ingest.index_stream(ingest.page_stream(spark, str(tmp_path / "in"), pages.schema, 1), str(tmp_path / "out"), str(tmp_path / "cp"))
+    kept = runs.KeptIndex(spark, str(tmp_path / "out"), fan=2)
+    q = runs.index_stream(ingest.page_stream(spark, str(tmp_path / "in"), pages.schema, 1), kept, str(tmp_path / "cp"))
     q.awaitTermination(120)
-    a = {tuple(r) for r in ingest.latest(spark, str(tmp_path / "out")).select("word", "url", "tf").collect()}
+    a = {tuple(r) for r in kept.postings().select("word", "url", "tf").collect()}
     b = {tuple(r) for r in index.postings(pages).select("word", "url", "tf").collect()}
     assert a == b

@@ -53,33 +53,55 @@ def decode(t: Column) -> Column:
     return bound(t, rest)
 
 
-def plain_decode(t: Column) -> Column:
-    """decode() for attribute values, which hold frequent entities only."""
-    for name, char in [*FREQUENT, ("&amp;", "&")]:
-        t = F.replace(t, F.lit(name), F.lit(char))
-    return t
+#: An attribute with its value, as the HTML standard's tokenizer reads it (a quote opens a value only after "="), but that names and
+#: values without quotes end at a "<". Possessive, so a page of any kind is read in linear time and without recursion.
+ATTRIBUTE = r"""[\s/]*+[^\s/<>][^\s/<>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s<>"'][^\s<>]*+)?+)?+"""
+#: From left to right: a comment, a script or style element as a whole (each up to the end of the page if it is not closed),
+#: or a start tag.
+TOKEN = rf"(?is)<!--.*?(?:-->|\z)|<(script|style)(?=[\s/>])(?:{ATTRIBUTE})*+[\s/]*+>.*?(?:</\1(?=[\s/>])|\z)|<[a-z][^\s/<>]*+(?:{ATTRIBUTE})*+[\s/]*+>"
+
+
+def shown(html: Column) -> Column:
+    """The start tags of a page in order, without those in comments, scripts and styles. What reads several kinds of tags binds
+    it first (store.once), as it is one pass over the page."""
+    return F.filter(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: ~t.rlike(r"(?i)^<(!|script[\s/>]|style[\s/>])"))
+
+
+def named(tags: Column, name: str) -> Column:
+    """The tags of one kind of element."""
+    return F.filter(tags, lambda t: t.rlike(rf"(?i)^<{name}[\s/>]"))
 
 
 def tags(html: Column, name: str) -> Column:
-    return F.regexp_extract_all(F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, ""), F.lit(rf"(?i)<{name}(\s[^>]*)?/?>"), F.lit(0))
+    return named(shown(html), name)
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """An attribute's value, decoded; null if the element lacks it."""
-    hit = F.regexp_extract(tag, rf"(?i)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1)
-    return F.when(hit != "", plain_decode(F.regexp_replace(hit, "^[\"']|[\"']$", "")))
+    """The value of the first attribute of this name, decoded; empty if it has none, null if the element lacks it."""
+    own = F.regexp_extract_all(F.regexp_replace(tag, r"^<[^\s/>]+", ""), F.lit(ATTRIBUTE), F.lit(0))
+    hit = F.try_element_at(F.filter(own, lambda a: a.rlike(rf"(?is)^[\s/]*{name}\s*(=|\z)")), F.lit(1))
+    value = F.regexp_extract(hit, r"(?s)^[^=]*=\s*(.*)\z", 1)
+    return decode(F.regexp_replace(value, r"""(?s)^(["'])(.*)\1\z""", "$2"))
 
 
 def links(html: Column, url: Column) -> Column:
     """Distinct absolute targets of anchors in page order, without nofollow anchors and unusable references."""
-    follow = F.filter(tags(html, "a"), lambda t: ~F.array_contains(F.split(F.lower(F.coalesce(attribute(t, "rel"), F.lit(""))), r"\s+"), "nofollow"))
+    return links_of(shown(html), url)
+
+
+def links_of(tags: Column, url: Column) -> Column:
+    follow = F.filter(named(tags, "a"), lambda t: ~F.array_contains(F.split(F.lower(F.coalesce(attribute(t, "rel"), F.lit(""))), r"\s+"), "nofollow"))
     hrefs = F.filter(F.transform(follow, lambda t: attribute(t, "href")), lambda h: h.isNotNull() & urls.href_ok(h))
     return F.array_distinct(F.transform(hrefs, lambda h: urls.resolve(url, h)))
 
 
 def images(html: Column, url: Column) -> Column:
     """(src, alt, pos) of images with a usable source, src normalised."""
-    found = F.transform(tags(html, "img"), lambda t, i: F.struct(attribute(t, "src").alias("raw"), F.coalesce(attribute(t, "alt"), F.lit("")).alias("alt"), i.alias("pos")))
+    return images_of(shown(html), url)
+
+
+def images_of(tags: Column, url: Column) -> Column:
+    found = F.transform(named(tags, "img"), lambda t, i: F.struct(attribute(t, "src").alias("raw"), F.coalesce(attribute(t, "alt"), F.lit("")).alias("alt"), i.alias("pos")))
     found = F.filter(found, lambda x: x["raw"].isNotNull() & urls.href_ok(x["raw"]))
     found = F.transform(found, lambda x: F.struct(urls.normalize_url(urls.resolve(url, x["raw"])).alias("src"), x["alt"].alias("alt"), x["pos"].alias("pos")))
     return F.filter(found, lambda x: x["src"].isNotNull())
@@ -114,7 +136,11 @@ def description(html: Column) -> Column:
 
 def directives(html: Column) -> Column:
     """(noindex, nofollow) of robots meta elements; 'none' means both."""
-    robots = F.filter(tags(html, "meta"), lambda t: F.lower(F.coalesce(attribute(t, "name"), F.lit(""))) == "robots")
+    return directives_of(shown(html))
+
+
+def directives_of(tags: Column) -> Column:
+    robots = F.filter(named(tags, "meta"), lambda t: F.lower(F.coalesce(attribute(t, "name"), F.lit(""))) == "robots")
     words = F.flatten(F.transform(robots, lambda t: F.transform(F.split(F.lower(F.coalesce(attribute(t, "content"), F.lit(""))), ","), lambda w: F.trim(w))))
     both = F.array_contains(words, "none")
     return F.struct((both | F.array_contains(words, "noindex")).alias("noindex"), (both | F.array_contains(words, "nofollow")).alias("nofollow"))

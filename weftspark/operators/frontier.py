@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup, text, urls
-from ..sources.store import once, stage
+from ..sources.log import BucketedLog
+from ..sources.store import once, release, stage
 from . import policy, robots
 
 
@@ -53,16 +54,49 @@ def step(frontier: DataFrame, visited: DataFrame, pages: DataFrame, allowed: Col
     return merge(left, candidates(batch, pages, allowed, rules)), visited.unionByName(batch.select("url")).distinct(), batch
 
 
+class Crawl:
+    """Rounds over two logs that are only appended to: what was found, (url, score), and what was popped.
+
+    The frontier is the smallest score of each found url that was not popped. Both logs are bucketed by url, so neither is
+    shuffled or rewritten for a round; a round writes its batch and the candidates on its pages. Every `compact_after`
+    rounds the logs' files are merged.
+    """
+
+    def __init__(self, start: DataFrame, buckets: int | None = None, compact_after: int = 50):
+        spark = start.sparkSession
+        self.found = BucketedLog(spark, "url string, score double", "url", buckets)
+        self.visited = BucketedLog(spark, "url string, score double, round int", "url", buckets)
+        self.found.append(start)
+        self.rounds, self.compact_after = 0, compact_after
+
+    def frontier(self) -> DataFrame:
+        """(url, score) of found urls that were not popped."""
+        least = self.found.read().groupBy("url").agg(text.clamp(F.min("score")).alias("score"))
+        return least.join(self.visited.read().select("url"), "url", "left_anti")
+
+    def round(self, pages: DataFrame, allowed: Column, n: int = 100, rules: DataFrame | None = None) -> None:
+        """Pop the n urls with the lowest scores (ties by url) and add what their pages link to."""
+        batch = stage(self.frontier().orderBy("score", "url").limit(n), "batch")
+        self.visited.append(batch.withColumn("round", F.lit(self.rounds)))
+        self.found.append(candidates(batch, pages, allowed, rules))
+        release(batch)
+        self.rounds += 1
+        if self.rounds % self.compact_after == 0:
+            self.found.compact()
+            self.visited.compact()
+
+    def popped(self) -> DataFrame:
+        """(url, score, round) of all popped urls."""
+        return self.visited.read()
+
+
 def crawl(frontier: DataFrame, pages: DataFrame, allowed: Column, rounds: int, n: int = 100, rules: DataFrame | None = None) -> DataFrame:
-    """(url, score, round) of popped urls over some rounds. Frontier and visited urls are written after each round."""
-    visited = frontier.select("url").limit(0)
-    out = None
-    for i in range(rounds):
-        frontier, visited, batch = step(frontier, visited, pages, allowed, n, rules)
-        frontier, visited = stage(frontier, "frontier"), stage(visited, "visited")
-        batch = batch.withColumn("round", F.lit(i))
-        out = batch if out is None else out.unionByName(batch)
-    return out
+    """(url, score, round) of popped urls over some rounds; see Crawl. The log of popped urls stays, as the result reads it."""
+    c = Crawl(frontier)
+    for _ in range(rounds):
+        c.round(pages, allowed, n, rules)
+    c.found.close()
+    return c.popped()
 
 
 def peek(queue: DataFrame, order: str = "seq") -> DataFrame:

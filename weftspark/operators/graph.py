@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup, urls
-from ..sources.store import stage
+from ..sources.store import numbered, once, stage
 
 
 def edges(pages: DataFrame) -> DataFrame:
     """Distinct (src, dst) between normalised urls without self-links; pages marked noindex give none."""
-    p = pages.filter(~markup.directives(F.col("html"))["noindex"]).select(urls.normalize_url(F.col("url")).alias("src"), F.explode(markup.links(F.col("html"), F.col("url"))).alias("to"))
+    p = once(pages.select("url", "html"), shown=markup.shown(F.col("html")))
+    p = p.filter(~markup.directives_of(F.col("shown"))["noindex"]).select(urls.normalize_url(F.col("url")).alias("src"), F.explode(markup.links_of(F.col("shown"), F.col("url"))).alias("to"))
     return p.select("src", urls.normalize_url(F.col("to")).alias("dst")).filter("src is not null and dst is not null and src <> dst").distinct()
 
 
@@ -23,12 +24,14 @@ def outlinks(pages: DataFrame) -> DataFrame:
 
 
 def backlinks(e: DataFrame, most: int = 100_000) -> DataFrame:
-    """(url, part, links): sorted sources of each target. A target with more than `most` of them gets several parts."""
-    n = e.groupBy(F.col("dst").alias("url")).agg(F.ceil(F.count("*") / most).alias("parts"))
-    large = n.filter("parts > 1")
-    part = F.pmod(F.xxhash64("src"), F.coalesce("parts", F.lit(1))).alias("part")
-    dealt = e.withColumnRenamed("dst", "url").join(large, "url", "left").select("url", part, "src")
-    return dealt.groupBy("url", "part").agg(F.sort_array(F.collect_list("src")).alias("links"))
+    """(url, part, links): the sources of each target in order, `most` in each part.
+
+    Sources are numbered in ranges of target and source, so a target that a third of all pages link to is spread over tasks,
+    and no array holds more than `most`.
+    """
+    n = numbered(e.select("dst", "src"), "dst", "src", "_n")
+    part = F.floor(F.col("_n") / most).cast("int").alias("part")
+    return n.groupBy(F.col("dst").alias("url"), part).agg(F.sort_array(F.collect_list("src")).alias("links"))
 
 
 def degrees(e: DataFrame) -> DataFrame:
@@ -43,7 +46,8 @@ def links_of(pages: DataFrame, out: DataFrame) -> DataFrame:
 
 def images(pages: DataFrame) -> DataFrame:
     """(page, src, alt): of equal sources on a page the last counts."""
-    p = pages.filter(~markup.directives(F.col("html"))["noindex"]).select(urls.normalize_url(F.col("url")).alias("page"), F.explode(markup.images(F.col("html"), F.col("url"))).alias("x"))
+    p = once(pages.select("url", "html"), shown=markup.shown(F.col("html")))
+    p = p.filter(~markup.directives_of(F.col("shown"))["noindex"]).select(urls.normalize_url(F.col("url")).alias("page"), F.explode(markup.images_of(F.col("shown"), F.col("url"))).alias("x"))
     return p.groupBy("page", "x.src").agg(F.max_by("x.alt", "x.pos").alias("alt"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +17,13 @@ MOST = 2**62
 
 
 def fetched(fetches: DataFrame, most: int = 10_485_760) -> DataFrame:
-    """Pages that were fetched well: status up to 399 and text/html, body cut at `most` bytes."""
+    """Pages that were fetched well: status up to 399 and text/html, body cut at `most` bytes or, where these end inside a
+    character, before it. Rows whose status, type or body is null: the first two are no such page, a null body stays."""
     ok = fetches.filter((F.col("status_code") <= 399) & F.col("content_type").startswith("text/html"))
-    body = F.decode(F.substring(F.encode("html", "UTF-8"), 1, most), "UTF-8")
+    raw = F.encode("html", "UTF-8")
+    inside = lambda at: F.hex(F.substring(raw, at, 1)).between("80", "BF")  # noqa: E731  a byte that goes on with a character
+    keep = F.when(~inside(most + 1), most).when(~inside(most), most - 1).when(~inside(most - 1), most - 2).otherwise(most - 3)
+    body = F.decode(F.substring(raw, F.lit(1), keep), "UTF-8")
     return ok.withColumn("html", F.when(F.octet_length("html") > most, body).otherwise(F.col("html"))).withColumn("content_type", F.lit("text/html"))
 
 
@@ -32,50 +39,56 @@ def top_words(counts: DataFrame, id_col: str, k: int = TOP) -> DataFrame:
     return counts.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """One row a page: normalised url, paragraph text, summary, language, confidence, title, description.
+def parsed(pages: DataFrame, order: str | None = None) -> DataFrame:
+    """One row a page: normalised url, order, paragraph text, summary, language, confidence, title, description.
 
-    Text, summary and language are each evaluated once, whatever reads them.
+    `order` names the column by which pages of one url follow each other (the time or number of their crawl); without it
+    their order is 0. Text, summary and language are each evaluated once, whatever reads them.
     """
-    p = pages.select(urls.normalize_url(F.col("url")).alias("url"), "html").filter("url is not null")
+    p = pages.select(urls.normalize_url(F.col("url")).alias("url"), "html", (F.col(order) if order else F.lit(0)).alias("order")).filter("url is not null")
     p = once(p, text=markup.page_text(F.col("html")))
     p = once(p, summary_text=text.summary(F.col("text")))
     p = once(p, sample=text.sample(F.col("summary_text")))
     p = once(p, vote=text.vote(F.col("sample")))
-    return p.select("url", "text", "summary_text", "vote.language", "vote.confidence", markup.title(F.col("html")).alias("title"), markup.description(F.col("html")).alias("description"))
+    return p.select("url", "order", "text", "summary_text", "vote.language", "vote.confidence", markup.title(F.col("html")).alias("title"), markup.description(F.col("html")).alias("description"))
 
 
-def english(pages: DataFrame) -> DataFrame:
+def english(pages: DataFrame, order: str | None = None) -> DataFrame:
     """Parsed pages in English with at least one token, and their tokens."""
-    return once(parsed(pages).filter("language = 'en'"), tokens=text.tokens(F.col("text"))).filter(F.size("tokens") > 0)
+    return once(parsed(pages, order).filter("language = 'en'"), tokens=text.tokens(F.col("text"))).filter(F.size("tokens") > 0)
 
 
 def boosted(p: DataFrame, k: int = TOP) -> DataFrame:
     """(url, word, tf) of pages with tokens: the k most frequent words, times 50 for each occurrence in the url; 10 for
-    a first one that the text lacks. Words of text and url are counted in one aggregation."""
+    a first one that the text lacks. Words of text and url are counted in one aggregation. Of pages with one url that with
+    the greatest order counts (if `p` has that column; equal ones are counted as one page); a null order comes first."""
+    p = p if "order" in p.columns else p.withColumn("order", F.lit(0))
     own = F.transform(urls.url_tokens(F.col("url")), lambda w: F.struct(w.alias("word"), F.lit(None).cast("int").alias("pos"), F.lit(1).alias("k")))
     of_text = F.transform("tokens", lambda w, i: F.struct(w.alias("word"), i.alias("pos"), F.lit(0).alias("k")))
-    w = p.select("url", F.explode(F.concat(of_text, own)).alias("w"))
-    c = w.groupBy("url", "w.word").agg(F.count("w.pos").alias("n"), F.min("w.pos").alias("pos"), F.sum("w.k").alias("k"))
+    w = p.select("url", "order", F.explode(F.concat(of_text, own)).alias("w"))
+    c = w.groupBy("url", "order", "w.word").agg(F.count("w.pos").alias("n"), F.min("w.pos").alias("pos"), F.sum("w.k").alias("k"))
+    # words of an earlier page go here, so its html or tokens need no shuffle of their own
+    c = c.withColumn("last", F.max("order").over(Window.partitionBy("url"))).filter(F.col("order").eqNullSafe(F.col("last")))
     rank = F.row_number().over(Window.partitionBy("url").orderBy(F.desc("n"), "pos"))
     c = c.withColumn("n", F.when((F.col("n") > 0) & (rank <= k), F.col("n"))).filter("n is not null or k > 0")
     tf = F.when(F.col("n").isNull(), MISS * F.pow(F.lit(float(HIT)), F.col("k") - 1)).otherwise(F.col("n") * F.pow(F.lit(float(HIT)), F.col("k")))
     return c.select("url", "word", F.least(tf, F.lit(float(MOST))).cast("long").alias("tf"))
 
 
-def postings(pages: DataFrame) -> DataFrame:
-    """(word, url, tf, weight) of English pages."""
-    return boosted(english(pages)).select("word", "url", "tf", F.lit(0.0).alias("weight"))
+def postings(pages: DataFrame, order: str | None = None) -> DataFrame:
+    """(word, url, tf, weight) of English pages, of each url the last one by `order`."""
+    return boosted(english(pages, order)).select("word", "url", "tf", F.lit(0.0).alias("weight"))
 
 
 def keywords(words: DataFrame) -> DataFrame:
     return words.groupBy("url").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "tf")))).alias("keywords"))
 
 
-def metadata(pages: DataFrame, words: DataFrame) -> DataFrame:
-    """(url, title, description, summary_text, keywords) of indexed pages."""
-    own = parsed(pages).filter("language = 'en'").groupBy("url").agg(F.min(F.struct("summary_text", "title", "description")).alias("x"))
-    return own.select("url", "x.*").join(keywords(words), "url")
+def metadata(pages: DataFrame, words: DataFrame, order: str | None = None) -> DataFrame:
+    """(url, title, description, summary_text, keywords) of indexed pages, of each url the last one by `order`."""
+    found = F.struct("order", F.struct("summary_text", "title", "description").alias("page"))
+    own = english(pages, order).groupBy("url").agg(F.max(found).alias("x"))
+    return own.select("url", "x.page.*").join(keywords(words), "url")
 
 
 def handoff(words: DataFrame) -> DataFrame:
@@ -122,4 +135,9 @@ def replace_pages(target: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def insert_absent(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return target.unionByName(new.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti").select(*target.columns))
+    """Rows whose keys `target` lacks are added, of equal keys the smallest row; a null key equals another one."""
+    rest = [c for c in target.columns if c not in keys]
+    one = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_x")).select(*keys, "_x.*") if rest else new.select(*keys).distinct()
+    had = target.select(*(F.col(k).alias(f"_{k}") for k in keys))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    return target.unionByName(one.join(had, same, "left_anti").select(*target.columns))

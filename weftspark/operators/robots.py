@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources.store import numbered
+from ..sources.store import largest_so_far, numbered
 
 #: The name under which a crawler of this library reads rules; callers give their own.
 AGENT = "weftspark/1.0"
@@ -36,18 +36,24 @@ def allowed(path: Column, allow: Column, disallow: Column) -> Column:
     return hit(allow) | ~hit(disallow)
 
 
-def schedule(requests: DataFrame, order: str, rate: float = 2.0, delays: DataFrame | None = None) -> DataFrame:
+def schedule(requests: DataFrame, order: str, rate: float = 2.0, delays: DataFrame | None = None, arrival: str | None = None) -> DataFrame:
     """Earliest start of each request in seconds: a bucket of one token for each host, refilled `rate` times a second.
 
-    `delays` is (host, delay): a host's positive crawl delay takes the place of the rate. Requests of a host are numbered
-    in ranges, so a host of any size is spread over tasks.
+    `delays` is (host, delay): a host's positive crawl delay takes the place of the rate. `arrival` names the column of the
+    seconds at which requests come (without it, all at 0); requests of a host are served in the order of arrival and then `order`, so
+    start = max(arrival, start before + 1 / rate). That is n / rate plus the greatest arrival - n / rate so far, n being a
+    request's number, and a greatest value so far is found over ranges of rows: a host of any size is spread over tasks.
     """
-    out = numbered(requests, "host", order, "_n")
+    by = F.struct(F.col(arrival).alias("at"), F.col(order).alias("id")) if arrival else order
+    out = numbered(requests, "host", by, "_n", part="_range")
     own = F.lit(rate)
     if delays is not None:
         out = out.join(delays.select("host", "delay"), "host", "left")
         own = F.coalesce(text.rps(F.col("delay")), own)
-    return out.withColumn("start_s", F.col("_n") / own).drop("_n", "delay")
+    if arrival is None:
+        return out.withColumn("start_s", F.col("_n") / own).drop("_n", "_range", "delay")
+    out = largest_so_far(out, "host", "_range", "_n", F.col(arrival) - F.col("_n") / own, "_most")
+    return out.withColumn("start_s", F.greatest(F.col("_most") + F.col("_n") / own, F.col(arrival))).drop("_n", "_range", "_most", "delay")
 
 
 def cached(rules: DataFrame, asked: DataFrame, now: Column, seconds: int = 3600) -> DataFrame:

@@ -115,11 +115,6 @@ def url_tokens(spark: SparkSession, d: str) -> DataFrame:
 ALLOW = "m.theres.example.net, www.thther.example.org ,ththre.example.com,,m.ththth.example.net"
 
 
-@query(f"with {PARTS} select page_id, url from parts where regexp_replace(host, '^www\\.', '') in ('m.theres.example.net', 'thther.example.org', 'ththre.example.com', 'm.ththth.example.net')")
-def allowlist_semi(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").filter(urls.is_allowed(F.col("url"), urls.allowed_domains(F.lit(ALLOW)))).select("page_id", "url")
-
-
 @query(f"with {PARTS} select page_id, url from parts where regexp_replace(host, '^www\\.', '') in ('m.theres.example.net', 'thther.example.org', 'ththre.example.com', 'm.ththth.example.net')")
 def allowlist_semi(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").filter(urls.is_allowed(F.col("url"), urls.allowed_domains(F.lit(ALLOW)))).select("page_id", "url")
@@ -133,19 +128,22 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.explode(markup.links(F.col("html"), F.col("url"))).alias("link"))
 
 
-
-
-
-
-
 @query(f"with {PARTS}, {LINKS} select n.nurl as url, coalesce(string_agg(e.dst, ' ' order by e.dst), '') as links from (select distinct nurl from normal) n left join edges e on n.nurl = e.src group by 1")
 def outlinks(spark: SparkSession, d: str) -> DataFrame:
     return graph.outlinks(table(spark, d, "pages")).select("url", F.array_join("links", " ").alias("links"))
 
 
-@query(f"with {PARTS}, {LINKS} select dst as url, string_agg(src, ' ' order by src) as links from edges group by 1")
+_BACKLINKS = f"with {PARTS}, {LINKS}, numbered as (select dst as url, src, row_number() over (partition by dst order by src) - 1 as n from edges) select url, (n // MOST)::int as part, string_agg(src, ' ' order by src) as links from numbered group by 1, 2"
+
+
+@query(_BACKLINKS.replace("MOST", "100000"))
 def backlinks(spark: SparkSession, d: str) -> DataFrame:
-    return graph.backlinks(graph.edges(table(spark, d, "pages"))).filter("part = 0").select("url", F.array_join("links", " ").alias("links"))
+    return graph.backlinks(graph.edges(table(spark, d, "pages"))).select("url", "part", F.array_join("links", " ").alias("links"))
+
+
+@query(_BACKLINKS.replace("MOST", "2"))
+def backlink_parts(spark: SparkSession, d: str) -> DataFrame:
+    return graph.backlinks(graph.edges(table(spark, d, "pages")), 2).select("url", "part", F.array_join("links", " ").alias("links"))
 
 
 @query(f"with {PARTS}, {LINKS} select url, sum(o)::bigint as out_degree, sum(i)::bigint as in_degree from (select src as url, 1 as o, 0 as i from edges union all select dst, 0, 1 from edges) group by 1")
@@ -199,8 +197,8 @@ def language_vote(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", text.vote(F.col("sample"))["language"].alias("language"))
 
 
-PARSED = f"with {PARTS}, {PARAGRAPHS}, sums as (select page_id, nurl, body, array_to_string(string_split_regex(trim(body), '\\s+')[1:500], ' ') as summary from texts), voted as (select page_id, nurl, body, {_language('')} as v from (select *, {TOKENS.format(x='substring(summary, 1, 1000)')} as toks from sums)), english as (select page_id, nurl, {_tokens('body')} as toks from voted where v.n < 0 and v.lang = 'en')"
-POSTINGS = f"{PARSED}, w as (select nurl, unnest(toks) as word, generate_subscripts(toks, 1) as pos from english), c as (select nurl, word, count(*) as tf, min(pos) as p from w group by 1, 2), top as (select nurl, word, tf from (select *, row_number() over (partition by nurl order by tf desc, p) as rn from c) where rn <= 1000), ut as (select nurl, word, count(*) as k from (select nurl, unnest(string_split_regex(lower(nurl), '[.,\\-_/+:()]')) as word from english where len(toks) > 0) where word <> '' and word not in ({POP}) group by 1, 2), post as (select coalesce(top.nurl, ut.nurl) as url, coalesce(top.word, ut.word) as word, (case when k is null then tf when tf is null then 10 * pow(50, k - 1) else tf * pow(50, k) end)::bigint as tf from top full join ut on top.nurl = ut.nurl and top.word = ut.word)"
+PARSED = f"with {PARTS}, {PARAGRAPHS}, sums as (select page_id, nurl, body, array_to_string(string_split_regex(trim(body), '\\s+')[1:500], ' ') as summary from texts), voted as (select page_id, nurl, body, {_language('')} as v from (select *, {TOKENS.format(x='substring(summary, 1, 1000)')} as toks from sums)), english as (select page_id, nurl, {_tokens('body')} as toks from voted where v.n < 0 and v.lang = 'en'), last as (select * from english where len(toks) > 0 qualify page_id = max(page_id) over (partition by nurl))"
+POSTINGS = f"{PARSED}, w as (select nurl, unnest(toks) as word, generate_subscripts(toks, 1) as pos from last), c as (select nurl, word, count(*) as tf, min(pos) as p from w group by 1, 2), top as (select nurl, word, tf from (select *, row_number() over (partition by nurl order by tf desc, p) as rn from c) where rn <= 1000), ut as (select nurl, word, count(*) as k from (select nurl, unnest(string_split_regex(lower(nurl), '[.,\\-_/+:()]')) as word from last) where word <> '' and word not in ({POP}) group by 1, 2), post as (select coalesce(top.nurl, ut.nurl) as url, coalesce(top.word, ut.word) as word, (case when k is null then tf when tf is null then 10 * pow(50, k - 1) else tf * pow(50, k) end)::bigint as tf from top full join ut on top.nurl = ut.nurl and top.word = ut.word)"
 
 
 @query(f"{PARSED} select nurl as url from english where len(toks) > 0")
@@ -210,21 +208,21 @@ def english_only(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{POSTINGS} select word, url, tf, 0.0::double as weight from post")
 def words_postings(spark: SparkSession, d: str) -> DataFrame:
-    return index.postings(table(spark, d, "pages"))
+    return index.postings(table(spark, d, "pages"), "page_id")
 
 
 @query(f"{POSTINGS} select url, string_agg(word || '=' || tf, ' ' order by word) as keywords from post group by 1")
 def keywords(spark: SparkSession, d: str) -> DataFrame:
-    k = index.keywords(index.postings(table(spark, d, "pages")))
+    k = index.keywords(index.postings(table(spark, d, "pages"), "page_id"))
     return k.select("url", F.array_join(F.transform(F.map_entries("keywords"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ").alias("keywords"))
 
 
 def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Stored pages with their crawl times, and a re-crawl in which every third page is new or newer."""
     p = table(spark, d, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("url"))
+    p = p.filter("url is not null").groupBy("url").agg(F.min("page_id").alias("page_id"))
     old = p.filter("page_id % 5 <> 0").select("url", F.lit(1).alias("last_crawled"), F.lit("old").alias("v"))
-    new = p.select("url", F.when(F.col("page_id") % 3 == 0, 2).otherwise(1).alias("last_crawled"), F.lit("new").alias("v"))
-    return old.dropDuplicates(["url"]), new.dropDuplicates(["url"])
+    return old, p.select("url", F.when(F.col("page_id") % 3 == 0, 2).otherwise(1).alias("last_crawled"), F.lit("new").alias("v"))
 
 
 SNAP = f"with {PARTS}, p as (select nurl as url, min(page_id) as id from normal group by 1), stored as (select url, 1 as last_crawled, 'old' as v from p where id % 5 <> 0), fresh as (select url, case when id % 3 = 0 then 2 else 1 end as last_crawled, 'new' as v from p)"
@@ -237,7 +235,7 @@ def change_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"{SNAP}, upd as (select * from fresh where last_crawled = 2) select url, last_crawled::int as last_crawled, v from upd union all select url, last_crawled::int, v from stored where url not in (select url from upd)")
-def words_upsert(spark: SparkSession, d: str) -> DataFrame:
+def pages_upsert(spark: SparkSession, d: str) -> DataFrame:
     old, new = _snapshots(spark, d)
     return index.upsert(old, new.filter("last_crawled = 2"), ["url"])
 
@@ -280,15 +278,14 @@ def rfc1123_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", "written", (text.from_rfc1123(F.col("written")).cast("timestamp_ntz") == F.date_trunc("second", "o_orderdate").cast("timestamp_ntz")).alias("same"))
 
 
-
 TFIDF = f"{POSTINGS}, n as (select count(distinct url)::double as n from post), df as (select word, count(distinct url)::double as df from post group by 1), wt as (select word, url, tf, tf * ln(n / df) as weight from post join df using (word) cross join n)"
 
 
 @query(f"{TFIDF} select word, url, tf, round(weight, 6)::double as weight from wt")
 def tfidf(spark: SparkSession, d: str) -> DataFrame:
-    return search.tfidf(index.postings(table(spark, d, "pages"))).select("word", "url", "tf", F.round("weight", 6).alias("weight"))
+    return search.tfidf(index.postings(table(spark, d, "pages"), "page_id")).select("word", "url", "tf", F.round("weight", 6).alias("weight"))
 
 
 @query(f"{TFIDF} select url, round(sum(weight), 6)::double as score, count(*)::bigint as terms from wt where word in ('thed', 'erand', 'thtion') group by 1 order by 2 desc, 1 limit 20")
 def ranked_search(spark: SparkSession, d: str) -> DataFrame:
-    return search.search(index.postings(table(spark, d, "pages")), "thed erand thtion", 20).select("url", F.round("score", 6).alias("score"), "terms")
+    return search.search(index.postings(table(spark, d, "pages"), "page_id"), "thed erand thtion", 20).select("url", F.round("score", 6).alias("score"), "terms")

@@ -14,7 +14,7 @@ from ..operators import frontier, graph, index, policy, robots, search
 from ..sources import pages as stored
 from ..sources.pages import table
 from ..sources.store import folder, once
-from ..streaming import ingest
+from ..streaming import ingest, runs
 from .catalogue import LINKS, PARAGRAPHS, PARTS, POSTINGS, TFIDF, _language, _list, _quoted, _rank_ctes, _tokens, query, TOKENS
 
 def number() -> Column:
@@ -24,7 +24,7 @@ def number() -> Column:
 
 def changed_parts(html: str) -> str:
     """The SQL of normalised pages with another html."""
-    return PARTS.replace("'$', 5)", "'$', 5)").replace(" as query from pages)", f" as query from (select page_id, url, {html} as html from pages))")
+    return PARTS.replace(" as query from pages)", f" as query from (select page_id, url, {html} as html from pages))")
 
 
 def pages(spark: SparkSession, d: str, html: Column | None = None) -> DataFrame:
@@ -59,18 +59,64 @@ def policy_decisions(spark: SparkSession, d: str) -> DataFrame:
     return policy.decide(u, "u", urls.allowed_domains(F.lit(urls.DEFAULT_ALLOWED))).select("page_id", "d.*")
 
 
+@query(f"""with o as (select o_orderkey as id, o_orderkey % 5 as k from orders)
+  select id, k <> 1 as allowed, (case k when 0 then -1.5 when 2 then 2.5 when 3 then -2.0 else 0.0 end)::double as adjustment,
+   case k when 0 then 'order ' || id when 1 then 'closed ' || id when 2 then 'all' when 3 then 'github repository root' else 'default allowed host' end as reason from o""")
+def policy_table(spark: SparkSession, d: str) -> DataFrame:
+    """Two rules for each order and one for a whole host, over urls below, at and beside their prefixes."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 5).alias("k"))
+    own = F.array(
+        F.struct(F.lit("a.test").alias("host"), F.lit(7).alias("ord"), F.concat(F.lit("/o/"), "id").alias("prefix"), F.lit(True).alias("allowed"), F.lit(-1.5).alias("adjustment"), F.concat(F.lit("order "), "id").alias("reason")),
+        F.struct(F.lit("a.test").alias("host"), F.lit(3).alias("ord"), F.concat(F.lit("/o/"), "id", F.lit("/in/")).alias("prefix"), F.lit(False).alias("allowed"), F.lit(0.0).alias("adjustment"), F.concat(F.lit("closed "), "id").alias("reason")),
+    )
+    rules = o.select(F.explode(own).alias("x")).select("x.*").unionByName(spark.createDataFrame([("b.test", 9, "/", True, 2.5, "all")], policy.RULE))
+    urls_ = ["https://a.test/o/#/x%2Fy", "https://www.a.test/o/#/in/1", "http://b.test/o/#", "https://github.com/o/#/", "https://a.test/o/x#/in/1"]
+    url = F.replace(F.element_at(F.array(*map(F.lit, urls_)), (F.col("k") + 1).cast("int")), F.lit("#"), F.col("id").cast("string"))
+    return policy.decide(o.select("id", url.alias("u")), "u", F.array().cast("array<string>"), table=rules).select("id", "d.*")
+
+
 # ---------------------------------------------------------------- markup
 
 def nofollowed() -> Column:
     return F.regexp_replace("html", '<a href="(/[a-mA-M][^"]*)">', '<a rel="external NoFollow" href="$1">')
 
 
-
 @query(f"with {PARTS}, {LINKS} select page_id, link from links where not regexp_matches(link, '^[^:]*://[^/]*/[a-mA-M]')")
 def nofollow_links(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d, nofollowed()).select("page_id", F.explode(markup.links(F.col("html"), F.col("url"))).alias("link"))
 
 
+def quoted() -> Column:
+    """Each listed link under a title with quotes and >, its references written in several ways; and links that are none."""
+    none = """<!-- <a href="/no"> --><script>"<a href='/no'>"</script><a title="<a href=/no>" name=x>"""
+    anchor = """<li><a title="a>b 'c' <i>" data-x = 'say "> no' nofollow HREF='$1?a=1&#38;b=2&amp;c&#x3D;3&d=4&#x26;amp;'>"""
+    unquoted = "<a title=it's href=/un&#112;aired>"
+    return F.concat(F.lit(none), F.regexp_replace("html", '<li><a href="(/[^"]*)">', anchor), F.lit(unquoted))
+
+
+@query(f"with {PARTS}, {LINKS} select distinct page_id, parts_root || href || '?a=1&b=2&c=3&d=4&amp;' as link from hrefs where regexp_matches(href, '^[\\x21\\x23-\\x3B\\x3D\\x3F-\\x7E]+$') and href like '/%' union all select page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || '/unpaired' from normal")
+def quoted_links(spark: SparkSession, d: str) -> DataFrame:
+    return pages(spark, d, quoted()).select("page_id", F.explode(markup.links(F.col("html"), F.col("url"))).alias("link"))
+
+
+def quoted_pictures() -> Column:
+    return F.regexp_replace("html", '<li><a href="(/[^"]*)">', """<li><img alt="1 &gt; 0 > caf&eacute; &#8364;&#x1F600;" onload='if (a>b) "x"' src = "$1.png"><a href="$1">""")
+
+
+@query(f"with {PARTS}, {LINKS} select distinct nurl as page, regexp_replace(parts_root || href || '.png', '://www\\.', '://') as src, '1 > 0 > café €😀' as alt from hrefs where regexp_matches(href, '^[\\x21\\x23-\\x3B\\x3D\\x3F-\\x7E]+$')")
+def quoted_images(spark: SparkSession, d: str) -> DataFrame:
+    return graph.images(pages(spark, d, quoted_pictures()))
+
+
+@query("select page_id, 'Caf\u00e9 > \u20ac \"' || page_id || '\" & <b>' as title, 'it''s > ' || page_id as description from pages")
+def quoted_metas(spark: SparkSession, d: str) -> DataFrame:
+    n = number().cast("string")
+    title = F.concat(F.lit('<meta data-a="<meta property=" property=\'og:title\' content=\'Caf&eacute; > &#8364; "'), n, F.lit('" &amp; &lt;b>\'>'))
+    html = F.concat(F.lit('<!-- <meta property="og:title" content="no"> -->'), title, F.lit('<meta content="it&#39;s > '), n, F.lit('" name=description>'), F.col("html"))
+    h = F.col("html")
+    return pages(spark, d, html).select("page_id", markup.title(h).alias("title"), markup.description(h).alias("description"))
+
+
 METAS = ['<meta name="ROBOTS" content="NoIndex, follow">', '<meta content="nofollow" name="robots">', "<meta name='robots' content='none'>", '<meta name="robots" content="NOINDEX"><meta name="robots" content=" NoFollow ">', ""]
 
 
@@ -202,11 +248,16 @@ def arithmetic(spark: SparkSession, d: str) -> DataFrame:
 _CODES, _TYPES = [200, 301, 399, 400, 404, 503], ["text/html", "text/html; charset=utf-8", "application/pdf", "text/plain"]
 
 
-@query(f"select page_id, 'text/html' as content_type, least(page_id * 50, 4000)::int as n from pages where [{', '.join(map(str, _CODES))}][page_id % 6 + 1] <= 399 and [{_list(_TYPES)}][page_id % 4 + 1] like 'text/html%'")
+#: Characters of 1, 2, 3 and 4 bytes after 0 to 6 of one byte, so that a cut falls at every place of a character.
+_BODY = "aé€😀"
+
+
+@query(f"select page_id, 'text/html' as content_type, least(page_id % 7 + page_id * 40, page_id % 7 + (4000 - page_id % 7) // 10 * 4 + [0, 1, 1, 2, 2, 2, 3, 3, 3, 3][(4000 - page_id % 7) % 10 + 1])::int as n, page_id * 100 + page_id % 7 > 4000 as cut from pages where [{', '.join(map(str, _CODES))}][page_id % 6 + 1] <= 399 and [{_list(_TYPES)}][page_id % 4 + 1] like 'text/html%'")
 def status_filter(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (number() % len(words) + 1).cast("int"))
-    p = pages(spark, d, F.repeat(F.lit("x"), (number() * 50).cast("int"))).select("*", pick(_CODES).alias("status_code"), pick(_TYPES).alias("content_type"))
-    return index.fetched(p, 4000).select("page_id", "content_type", F.length("html").alias("n"))
+    body = F.concat(F.repeat(F.lit("x"), (number() % 7).cast("int")), F.repeat(F.lit(_BODY), (number() * 10).cast("int")))
+    p = pages(spark, d, body).select("*", F.octet_length("html").alias("bytes"), pick(_CODES).alias("status_code"), pick(_TYPES).alias("content_type"))
+    return index.fetched(p, 4000).select("page_id", "content_type", F.length("html").alias("n"), (F.col("bytes") > 4000).alias("cut"))
 
 
 def _queue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -275,21 +326,34 @@ def _flat(m: DataFrame) -> DataFrame:
     return m.withColumn("keywords", F.array_join(entries, " "))
 
 
-@query(f"{POSTINGS}, {_KEYS}, m as (select e.nurl as url, min(s.summary) as summary_text from english e join sums s using (page_id) group by 1) select url, null::varchar as title, null::varchar as description, summary_text, keywords from m join kw using (url)")
+@query(f"{POSTINGS}, {_KEYS}, m as (select e.nurl as url, s.summary as summary_text from last e join sums s using (page_id)) select url, null::varchar as title, null::varchar as description, summary_text, keywords from m join kw using (url)")
 def metadata(spark: SparkSession, d: str) -> DataFrame:
     p = pages(spark, d)
-    return _flat(index.metadata(p, index.postings(p))).withColumn("title", F.col("title").cast("string"))
+    return _flat(index.metadata(p, index.postings(p, "page_id"), "page_id")).withColumn("title", F.col("title").cast("string"))
+
+
+@query(f"""with {PARTS}, u as (select distinct nurl from normal), ut as (select nurl, word, count(*) as k from (select nurl, unnest(string_split_regex(lower(nurl), '[.,\\-_/+:()]')) as word from u) where word <> '' and word not in ({_list(urls.POPULAR_DOMAINS)}) group by 1, 2),
+  t as (select nurl, unnest(['word', 'new']) as word, unnest([1, 2]) as tf from u)
+  select coalesce(t.word, ut.word) as word, coalesce(t.nurl, ut.nurl) as url, (case when k is null then tf when tf is null then 10 * pow(50, k - 1) else tf * pow(50, k) end)::bigint as tf from t full join ut on t.nurl = ut.nurl and t.word = ut.word""")
+def shared_urls(spark: SparkSession, d: str) -> DataFrame:
+    """Each page three times under one normalised url: only the last crawl's words count, and the url's words once."""
+    url = urls.strip_url(F.col("url"))
+    tracked = F.concat(url, F.when(url.contains("?"), F.lit("&")).otherwise(F.lit("?")), F.lit("utm_source=1"))
+    crawls = [(F.col("url"), F.col("html")), (tracked, F.lit("<p>the word of it is old, gone and old</p>")), (F.concat(url, F.lit("#end")), F.lit("<p>the word of it is new and new</p>"))]
+    versions = F.array(*(F.struct(u.alias("url"), h.alias("html")) for u, h in crawls))
+    p = table(spark, d, "pages").select("page_id", F.posexplode(versions).alias("version", "x"))
+    return index.postings(p.select("x.*", (F.col("version") * 1_000_000 + F.col("page_id")).alias("crawl")), "crawl").select("word", "url", "tf")
 
 
 @query(f"{POSTINGS} select distinct url from post")
 def image_handoff(spark: SparkSession, d: str) -> DataFrame:
-    return index.handoff(index.postings(pages(spark, d)))
+    return index.handoff(index.postings(pages(spark, d), "page_id"))
 
 
 @query(f"{POSTINGS} select word, url, tf from post where word in ('thed', 'erand', 'https')")
 def index_lookup(spark: SparkSession, d: str) -> DataFrame:
     at = folder(spark, "index")
-    index.write_index(index.postings(pages(spark, d)), at)
+    index.write_index(index.postings(pages(spark, d), "page_id"), at)
     return index.lookup(spark, at, ["thed", "erand", "https"]).select("word", "url", "tf")
 
 
@@ -297,16 +361,17 @@ def index_lookup(spark: SparkSession, d: str) -> DataFrame:
 def stream_index(spark: SparkSession, d: str) -> DataFrame:
     at, source = folder(spark, "stream"), pages(spark, d)
     stream = ingest.page_stream(spark, f"{d}/pages*.parquet", spark.read.parquet(f"{d}/pages.parquet").schema)
-    ingest.index_stream(stream.select(*source.columns), f"{at}/out", f"{at}/checkpoint").awaitTermination()
-    return ingest.latest(spark, f"{at}/out").select("word", "url", "tf")
+    kept = runs.KeptIndex(spark, f"{at}/index")
+    runs.index_stream(stream.select(*source.columns), kept, f"{at}/checkpoint", "page_id").awaitTermination()
+    return kept.postings()
 
 
-@query(f"""{TFIDF}, {LINKS}, {_rank_ctes(5)}, q as (select url, sum(weight) as lexical, count(*)::bigint as terms from wt where word in ('thed', 'erand', 'thtion') group by 1), m as (select e.nurl as url, min(s.summary) as summary_text from english e join sums s using (page_id) group by 1)
+@query(f"""{TFIDF}, {LINKS}, {_rank_ctes(5)}, q as (select url, sum(weight) as lexical, count(*)::bigint as terms from wt where word in ('thed', 'erand', 'thtion') group by 1), m as (select e.nurl as url, s.summary as summary_text from last e join sums s using (page_id))
   select q.url, round(lexical + 100 * coalesce(r5.r, 0), 6)::double as score, terms, summary_text from q left join r5 on r5.url = q.url left join m on m.url = q.url order by lexical + 100 * coalesce(r5.r, 0) desc, q.url limit 20""")
 def ranked_with_authority(spark: SparkSession, d: str) -> DataFrame:
     p = pages(spark, d)
-    words = index.postings(p)
-    titles = index.metadata(p, words).select("url", "summary_text")
+    words = index.postings(p, "page_id")
+    titles = index.metadata(p, words, "page_id").select("url", "summary_text")
     best = search.search(words, "thed erand thtion", 20, ranks=graph.pagerank(graph.edges(p)), share=100.0, metadata=titles)
     return best.select("url", F.round("score", 6).alias("score"), "terms", "summary_text")
 
@@ -342,6 +407,17 @@ def host_rates(spark: SparkSession, d: str) -> DataFrame:
     return robots.schedule(asked, "page_id", delays=robots.parse(_lines(spark, d))).select("page_id", "start_s")
 
 
+@query("""with recursive r as materialized (select event_id, 'h' || user_id % 10 as host, epoch_us(ts) // 1000 / 1000.0::double as came, case when user_id % 10 = 3 then 600.0 else 120.0 end as gap,
+   row_number() over (partition by user_id % 10 order by ts, event_id) as n from events),
+  s as (select event_id, host, n, came as start_s from r where n = 1 union all select r.event_id, r.host, r.n, greatest(r.came, s.start_s + r.gap) from s join r on r.host = s.host and r.n = s.n + 1)
+  select event_id, round(start_s, 3)::double as start_s from s""")
+def bucket_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """Events as requests to ten hosts, one of them slow, each at its own time."""
+    e = table(spark, d, "events").select("event_id", F.concat(F.lit("h"), F.col("user_id") % 10).alias("host"), (F.unix_millis(F.col("ts").cast("timestamp")) / 1000).alias("at"))
+    delays = spark.createDataFrame([("h3", 600.0)], "host string, delay double")
+    return robots.schedule(e, "event_id", 1 / 120, delays, arrival="at").select("event_id", F.round("start_s", 3).alias("start_s"))
+
+
 @query(f"{_ROBOTS} select host, case when len(host) % 2 = 0 then allow else '' end as allow, case when len(host) % 2 = 0 then delay end as delay from rule")
 def robots_cache(spark: SparkSession, d: str) -> DataFrame:
     now = F.expr("timestamp'2024-01-15 12:00:00'")
