@@ -87,10 +87,30 @@ def test_members_larger_than_the_window(monkeypatch):
     assert sum(bool(f.reason) for f in found) == 3
 
 
+@pytest.mark.parametrize("window", [warc.WINDOW, 4000])
+@pytest.mark.parametrize("level", [0, 1, 6])
+def test_records_before_the_damage_of_a_member_come_back(monkeypatch, window, level):
+    monkeypatch.setattr(warc, "WINDOW", window)
+    rng = np.random.default_rng(9)
+    records = [warc.record(i, f"http://x/{i}", rng.integers(97, 123, 900).astype(np.uint8).tobytes()) for i in range(20)]
+    whole, more = warc.member(b"".join(records), level), warc.member(warc.record(99, "u", b"after"))
+    at = len(whole) * 9 // 10
+    for name, bad, least in (("a bad byte", whole[:at] + bytes([whole[at] ^ 0xFF]) + whole[at + 1 :], 17), ("a cut", whole[:-40], 18), ("a checksum", whole[:-6] + b"\0\0" + whole[-4:], 20), ("a gap", whole[:at] + whole[at + 300 :], 17)):
+        for data, after in ((bad + more, [99]), (bad, [])):
+            found = list(warc.salvage(File(data)))
+            got = [int(f.head["x-page-id"]) for f in found if f.head]
+            own = [i for i in got if i != 99]
+            assert got[len(own) :] == after and len(own) >= least and own[:least] == list(range(least)) and len(set(got)) == len(got), (name, got)
+            assert all(f.block == records[int(f.head["x-page-id"])].split(b"\r\n\r\n", 1)[1][:-4] for f in found if f.head and f.head["x-page-id"] != "99")
+            assert [f for f in found if f.reason] and all(f.begin < f.end <= len(data) for f in found), name
+
+
 def test_gaps_are_logged(spark, tmp_path, caplog):
     good = warc.member(warc.record(7, "u", b"p"))
     (tmp_path / "a.warc.gz").write_bytes(good[:-9] + b"garbage" + good)
     found = warc.read(spark.createDataFrame([(str(tmp_path / "a.warc.gz"),)], "path string"))
     with caplog.at_level(logging.WARNING):
         gaps = warc.quarantine(found).collect()
-    assert [(g.begin, g.end) for g in gaps] == [(0, len(good) - 2)] and "1 byte gaps" in caplog.text
+    # the cut member's record is whole
+    assert [r.page_id for r in found.filter("reason is null").collect()] == [7, 7]
+    assert gaps and all(0 <= g.begin < g.end <= 2 * len(good) - 2 for g in gaps) and f"{len(gaps)} byte gaps" in caplog.text

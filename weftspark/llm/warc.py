@@ -85,11 +85,11 @@ class Bytes:
 
 
 class Member:
-    """The decompressed bytes of a gzip member as a source. What lies before `keep` is forgotten; to come back to it the
-    member is decompressed again from its start."""
+    """The decompressed bytes of a gzip member up to `end` as a source. What lies before `keep` is forgotten; to come back to it
+    the member is decompressed again from its start."""
 
-    def __init__(self, src: Source, begin: int, size: int):
-        self.src, self.begin, self.size, self.keep = src, begin, size, 0
+    def __init__(self, src: Source, begin: int, end: int, size: int):
+        self.src, self.begin, self.end, self.size, self.keep = src, begin, end, size, 0
         self._start()
 
     def _start(self) -> None:
@@ -101,7 +101,9 @@ class Member:
         while self.at + len(self.held) < begin + n and not self.z.eof:
             raw = self.z.unconsumed_tail
             if not raw:
-                raw = self.src.read(self.next, CHUNK)
+                raw = self.src.read(self.next, min(CHUNK, self.end - self.next))
+                if not raw:
+                    break
                 self.next += len(raw)
             self.held += self.z.decompress(raw, WINDOW)
             behind = min(self.keep, begin) - self.at
@@ -149,26 +151,55 @@ def _record_at(src: Source | Bytes, begin: int) -> tuple[dict[str, str], bytes,
     return head, block, first + n + 4
 
 
-def _member_at(src: Source, begin: int) -> tuple[Bytes | Member, int]:
-    """The gzip member at a position as a source of its decompressed bytes, and where it ends; its checksum holds.
+def _accepted(z, raw: bytes):
+    """The decompressor after the bytes before the first bad one, what they gave, and how many they are."""
+    out, used = [], 0
+    for step in (4096, 64, 1):
+        while used < len(raw):
+            part, probe = raw[used : used + step], z.copy()
+            try:
+                out.append(probe.decompress(part))
+            except zlib.error:
+                break
+            z, used = probe, used + len(part)
+    return z, out, used
+
+
+def _member_at(src: Source, begin: int) -> tuple[Bytes | Member, int, str]:
+    """The gzip member at a position as a source of its decompressed bytes, where it ends, and why it ends there: an empty text if
+    its checksum holds; else it ends at the first byte that does not decompress, or with the file.
 
     Members of up to WINDOW bytes are held; of larger ones, as of archives compressed as a whole, a window.
     """
-    z, held, n, at = zlib.decompressobj(31), [], 0, begin
-    while not z.eof:
+    z, held, n, at, why = zlib.decompressobj(31), [], 0, begin, ""
+
+    def take(more: bytes) -> None:
+        nonlocal n
+        n += len(more)
+        if n <= WINDOW:
+            held.append(more)
+        if held and sum(map(len, held[:2])) >= 5 and not b"".join(held[:2]).startswith(b"WARC/"):
+            raise ValueError("member holds no record")
+
+    while not z.eof and not why:
         raw = src.read(at, CHUNK)
         if not raw:
-            raise EOFError("member ends early")
-        at += len(raw)
-        while raw and not z.eof:
-            more = z.decompress(raw, WINDOW)
-            raw, n = z.unconsumed_tail, n + len(more)
-            if n <= WINDOW:
-                held.append(more)
-            if held and sum(map(len, held[:2])) >= 5 and not b"".join(held[:2]).startswith(b"WARC/"):
-                raise ValueError("member holds no record")
+            why = "member ends early"
+            break
+        before = z.copy()
+        try:
+            parts, rest = [], raw
+            while rest and not z.eof:
+                parts.append(z.decompress(rest, WINDOW))
+                rest = z.unconsumed_tail
+            at += len(raw)
+        except zlib.error as e:
+            z, parts, used = _accepted(before, raw)
+            at, why = at + used, str(e)
+        for more in parts:
+            take(more)
     end = at - len(z.unused_data)
-    return (Bytes(b"".join(held)) if n <= WINDOW else Member(src, begin, n)), end
+    return (Bytes(b"".join(held)) if n <= WINDOW else Member(src, begin, end, n)), end, why
 
 
 def _inside(data: Bytes | Member, begin: int, end: int) -> Iterator[Found]:
@@ -211,27 +242,55 @@ def _find(src: Source | Bytes | Member, begin: int, magic: bytes | None) -> int:
     return src.size
 
 
+def _overrun(src: Source, begin: int, end: int) -> int | None:
+    """Where the first whole member begins that a cut one has read on into, if there is one. (A whole member within a payload
+    that is stored without compression in a damaged member would be taken for one.)"""
+    at = begin + 1
+    while at < end:
+        raw = src.read(at, min(CHUNK, end - at + 2))
+        hit = raw.find(MAGIC)
+        if hit < 0:
+            at += max(1, len(raw) - 2)
+            continue
+        at += hit
+        if at >= end:
+            break
+        try:
+            data, _, cut = _member_at(src, at)
+            if not cut and data.read(0, 5) == b"WARC/":
+                return at
+        except (zlib.error, ValueError, EOFError):
+            pass
+        at += 1
+    return None
+
+
 def salvage(file) -> Iterator[Found]:
     """Records of an archive, compressed by member or not; after a failed check, those from the next valid start.
 
     A candidate start counts as valid only if the whole record there passes all checks (version line, header, length, end mark,
-    gzip checksum, block digest); what lies before it becomes one gap with the reason of the first failure. A gzip member may
-    hold any number of records: all have its position, and so have gaps within it, whose reasons name the damaged bytes.
+    block digest); what lies before it becomes one gap with the reason of the first failure. A gzip member may
+    hold any number of records: all have its position, and so have gaps within it, whose reasons name the damaged bytes. Of a
+    member that is cut or whose stream or checksum is damaged, the records count that decompress before the first bad byte
+    and pass all checks; from that byte on a gap lasts to the next valid start.
     """
     src = Source(file)
     at, gap, why = 0, None, ""
     while at < src.size:
+        cut = ""
         try:
             if src.read(at, 3) == MAGIC:
-                data, end = _member_at(src, at)
+                data, end, cut = _member_at(src, at)
                 found = _inside(data, at, end)
             else:
                 head, block, end = _record_at(src, at)
                 found = iter([Found(at, end, head, block)])
             one = next(found)
+            while cut and one.reason:  # a damaged member counts from its first valid record on
+                one = next(found)
         except (zlib.error, ValueError, EOFError) as e:
             if gap is None:
-                gap, why = at, str(e)
+                gap, why = at, cut or str(e)
             at = _find(src, at + 1, MAGIC)
             continue
         if gap is not None:
@@ -239,7 +298,16 @@ def salvage(file) -> Iterator[Found]:
             gap = None
         yield one
         yield from found
-        at = end
+        if not cut:
+            at = end
+            continue
+        at = _overrun(src, at, end)
+        if at is None:
+            gap, why = end, cut
+            at = _find(src, end, MAGIC)
+        if at <= end or end == src.size:  # nothing lies between
+            yield Found(one.begin, at, reason=cut)
+            gap = None
     if gap is not None:
         yield Found(gap, src.size, reason=why)
 
