@@ -96,3 +96,45 @@ def test_stream_equals_batch(spark, tmp_path):
     a = {tuple(r) for r in kept.postings().select("word", "url", "tf").collect()}
     b = {tuple(r) for r in index.postings(pages).select("word", "url", "tf").collect()}
     assert a == b
+
+
+def test_rules_by_prefix_keys_equal_prefix_tests(spark):
+    from weftspark.operators import policy
+
+    paths = ["/", "/a", "/a/b", "/ab", "/a/b/c", "/a//b", "/b/a", "/é/ü", "/a/b/c/d/e/f/g", "//", "/A/b"]
+    prefixes = ["/", "/a", "/a/", "/a/b", "/a/b/", "/ab", "/a//", "/a//b", "/é", "/b/a/", "/a/b/c/d", "/c"]
+    table = spark.createDataFrame([(h, i, p, i % 2 == 0, float(i), p) for h in ("x.test", "y.test") for i, p in enumerate(prefixes) if h == "x.test" or i % 3], policy.RULE)
+    rows = spark.createDataFrame([(h, p) for h in ("x.test", "y.test", "z.test", None) for p in [*paths, None]], "h string, p string")
+    got = {(r.h, r.p): r.rule and r.rule.reason for r in policy.with_rules(rows, "h", "p", table, "rule").collect()}
+    holds = lambda path, p: p == "/" or (path.startswith(p) if p.endswith("/") else path == p or path.startswith(p + "/"))
+    for (h, path), reason in got.items():
+        own = [p for i, p in enumerate(prefixes) if h == "x.test" or h == "y.test" and i % 3]
+        assert reason == (None if path is None else next((p for p in own if holds(path, p)), None)), (h, path)
+    assert len(got) == 4 * (len(paths) + 1)
+    assert policy.with_rules(rows, "h", "p", table.limit(0), "rule").filter("rule is not null").count() == 0
+
+
+def test_fixed_rules_as_a_table_decide_alike(spark):
+    from weftspark.operators import policy
+
+    urls_ = [f"https://{h}{p}" for h in ("github.com", "stackoverflow.com", "kubernetes.io") for p in ("", "/login", "/login/x", "/loginless", "/users/ada", "/users/login", "/questions/tagged/x", "/questions/8", "/a/b/blob/m", "/topics/x", "/a/b")]
+    df = spark.createDataFrame([(u,) for u in [*urls_, "nohost", None]], "u string")
+    none = F.array().cast("array<string>")
+    a = {(r.u, str(r.d)) for r in policy.decide(df, "u", none).collect()}
+    b = {(r.u, str(r.d)) for r in policy.decide(df, "u", none, table=policy.rules(spark)).collect()}
+    assert a == b
+
+
+def test_starts_of_requests_at_their_own_times(spark):
+    import random
+
+    from weftspark.operators import robots
+
+    r = random.Random(2)
+    rows = [(i, r.choice(["hot", "hot", "hot", "a", None]), float(r.randrange(0, 4000))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, host string, at double").repartition(7)
+    got = {x.id: x.start_s for x in robots.schedule(df, "id", 0.5, arrival="at").collect()}
+    last, want = {}, {}
+    for i, host, at in sorted(rows, key=lambda x: (x[2], x[0])):
+        want[i] = last[host] = max(at, last[host] + 2.0) if host in last else at
+    assert got == want
