@@ -65,3 +65,16 @@ def test_odd_documents(spark):
     n = len(Encoder(tokenizer_path()).encode(["word " * 5000])[0]) // 4 + 1
     assert sorted(zip(got.doc_id.fillna(-1), got.piece, got.start, got.length)) == sorted([(1, 0, 0, 1), (1, 0, 0, 1), (-1, 0, 0, 3), (3, 0, 0, 1)] + [(2, k, 2048 * k, min(2048, n - 2048 * k)) for k in range(-(-n // 2048))])
     assert packing.pack(packing.pieces(docs.limit(0), tokenizer_path())).count() == 0
+
+
+def test_the_search_is_fast_where_best_fit_leaves_much(monkeypatch):
+    """Lengths of which two seldom fill a sequence: a whole group in seconds, with fewer sequences than best fit has."""
+    import time
+
+    lengths = np.random.default_rng(0).integers(600, 1100, 8192)
+    first = packing.best_fit(lengths)
+    began = time.process_time()
+    bins = packing.local_search(first, lengths)
+    assert time.process_time() - began < 20
+    assert sorted(i for b in bins for i in b) == list(range(8192)) and max(lengths[b].sum() for b in bins) <= 2048
+    assert len(bins) <= 3688 < len(first)

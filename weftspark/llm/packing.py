@@ -51,70 +51,83 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAP
     fuller bin, so the sum of squared fills rises and the search ends. It stops at the bound that the total
     length sets, or when every underfull bin has given once and nothing moved.
     """
-    full = [b for b in bins if int(lengths[b].sum()) == capacity]
-    rest = [b for b in bins if int(lengths[b].sum()) < capacity]
-    least = -(-int(sum(lengths[b].sum() for b in rest)) // capacity)
-    done: list[list[int]] = []
-    squares = lambda all_: sum(int(lengths[b].sum()) ** 2 for b in all_)
-    before = -1
-    while len(rest) + len(done) > max(least, 1):
-        if len(rest) < 2:  # all have given: one more pass if this one moved anything
-            rest, done = rest + done, []
-            if squares(rest) <= before:
+    lengths = np.asarray(lengths, np.int64)
+    home = np.empty(len(lengths), np.int64)
+    for k, b in enumerate(bins):
+        home[b] = k
+    fill = np.bincount(home, lengths, len(bins)).astype(np.int64)
+    gives = fill < capacity  # bins that still take part in this pass; fills and homes change in place
+    left = int(gives.sum())  # underfull bins, also those that have given
+    least = -(-int(fill[gives].sum()) // capacity)
+    before, waiting = -1, np.zeros(len(bins), bool)
+    while left > max(least, 1):
+        if gives.sum() < 2:  # all have given: one more pass if this one moved anything
+            gives, waiting = gives | waiting, np.zeros(len(bins), bool)
+            squares = int((fill[gives] ** 2).sum())
+            if squares <= before or gives.sum() < 2:
                 break
-            before = squares(rest)
-        rest.sort(key=lambda b: int(lengths[b].sum()), reverse=True)
-        giver = list(rest.pop())
-        fill = np.array([int(lengths[b].sum()) for b in rest])
-        item = np.array([i for b in rest for i in b])
-        home = np.repeat(np.arange(len(rest)), [len(b) for b in rest])
-        size = lengths[item]
-        changed = True
-        while giver and changed:
-            changed = False
-            for i in sorted(giver, key=lambda i: -lengths[i]):
-                fits = np.flatnonzero(capacity - fill >= lengths[i])
-                if len(fits):
-                    b = int(fits[np.argmax(fill[fits])])
-                    giver.remove(i)
-                    fill[b] += lengths[i]
-                    item, home, size = np.append(item, i), np.append(home, b), np.append(size, lengths[i])
-                    changed = True
-                    break
-            if changed:
-                continue
-            held = int(lengths[giver].sum())
-            offers: dict[int, tuple] = {}  # one of each total: equal totals allow the same exchanges
-            one = {}
-            for i in giver:
-                one.setdefault(int(lengths[i]), []).append(i)
-            for x, a in one.items():
-                offers.setdefault(x, (a[0],))
-                for y, b in one.items():
-                    if x < y or x == y and len(a) > 1:
-                        offers.setdefault(x + y, (a[0], b[0] if x < y else a[1]))
-            for _, offer in sorted(offers.items(), reverse=True):
-                n = int(lengths[list(offer)].sum())
-                gain = n - size
-                good = np.flatnonzero((gain > 0) & (gain <= capacity - fill[home]) & (fill[home] + gain > held))
-                if len(good):
-                    k = int(good[np.argmax(gain[good])])
-                    b, back = int(home[k]), int(item[k])
-                    fill[b] += n - int(size[k])
-                    for i in offer:
-                        giver.remove(i)
-                    giver.append(back)
-                    item, home, size = (np.append(np.delete(x, k), y) for x, y in ((item, offer), (home, [b] * len(offer)), (size, lengths[list(offer)])))
-                    changed = True
-                    break
-        order = np.argsort(home, kind="stable")
-        cuts = np.searchsorted(home[order], np.arange(1, len(rest)))
-        rest = [x.tolist() for x in np.split(item[order], cuts)]
+            before = squares
+        own = int(np.argmin(np.where(gives, fill, capacity + 1)))
+        gives[own] = False
+        giver = np.flatnonzero(home == own).tolist()
+        while giver and (_move(giver, own, home, fill, gives, lengths, capacity) or _exchange(giver, own, home, fill, gives, lengths, capacity)):
+            pass
         if giver:
-            done.append(giver)  # no step empties it as the others are now
+            waiting[own] = True  # no step empties it as the others are now
         else:
-            rest, done = rest + done, []
-    return full + done + rest
+            left -= 1
+    order = np.argsort(home, kind="stable")
+    cuts = np.flatnonzero(np.diff(home[order])) + 1
+    return [x.tolist() for x in np.split(order, cuts)] if len(order) else []
+
+
+def _move(giver: list[int], own: int, home: np.ndarray, fill: np.ndarray, gives: np.ndarray, lengths: np.ndarray, capacity: int) -> bool:
+    """Move the longest item that fits anywhere to the fullest bin with room for it."""
+    room = capacity - fill[gives].min(initial=capacity)
+    for i in sorted(giver, key=lambda i: -lengths[i]):
+        if lengths[i] > room:
+            continue
+        b = int(np.argmax(np.where(gives & (fill <= capacity - lengths[i]), fill, -1)))
+        giver.remove(i)
+        home[i] = b
+        fill[b] += lengths[i]
+        fill[own] -= lengths[i]
+        return True
+    return False
+
+
+def _exchange(giver: list[int], own: int, home: np.ndarray, fill: np.ndarray, gives: np.ndarray, lengths: np.ndarray, capacity: int) -> bool:
+    """Give one or two items for a shorter one of a bin that they then fill best, the longest offers first."""
+    offers: dict[int, tuple] = {}  # one of each total: equal totals allow the same exchanges
+    one: dict[int, list[int]] = {}
+    for i in giver:
+        one.setdefault(int(lengths[i]), []).append(i)
+    for x, a in one.items():
+        offers.setdefault(x, (a[0],))
+        for y, b in one.items():
+            if x < y or x == y and len(a) > 1:
+                offers.setdefault(x + y, (a[0], b[0] if x < y else a[1]))
+    items = np.flatnonzero(gives[home])
+    if not len(items):
+        return False
+    size, at = lengths[items], fill[home[items]]
+    most, held = size + capacity - at, fill[own]  # the longest offer that an item's bin can take for it
+    for n in sorted(offers, reverse=True):
+        good = np.flatnonzero((size < n) & (n <= most) & (at + n - size > held))
+        if not len(good):
+            continue
+        back = int(items[good[np.argmin(size[good])]])
+        b, offer = int(home[back]), offers[n]
+        gain = n - int(lengths[back])
+        for i in offer:
+            giver.remove(i)
+            home[i] = b
+        giver.append(back)
+        home[back] = own
+        fill[b] += gain
+        fill[own] -= gain
+        return True
+    return False
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
