@@ -55,4 +55,49 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) A
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
-ORACLES = {"op2_warc_salvage": WARC, "op6_jaccard_join": JACCARD, "op9_vector_near_dup": VECTORS, "op10_exact_top_k": TOP_K}
+def _codes(rounds: int = 4) -> str:
+    """Rounds of assignment and means, one after another; whole numbers below 2^53 are exact in doubles."""
+    nearest = """SELECT rid, part, min({{'d': d, 'e': entry}}) AS best FROM (SELECT q.rid, q.part, b.entry,
+      list_inner_product(q.xs, q.xs) - 2 * list_inner_product(q.xs, b.c) + list_inner_product(b.c, b.c) AS d FROM q JOIN b{k} b ON b.part = q.part) GROUP BY rid, part"""
+    steps = []
+    for k in range(rounds):
+        steps.append(f"a{k} AS MATERIALIZED ({nearest.format(k=k)})")
+        steps.append(f"""m{k} AS (SELECT part, entry, list(x ORDER BY i) AS c FROM (SELECT a.part, a.best.e AS entry, i, floor(sum(q.xs[i]) / count(*)) AS x
+      FROM a{k} a JOIN q ON q.rid = a.rid AND q.part = a.part, unnest(range(1, len(q.xs) + 1)) AS t(i) GROUP BY ALL) GROUP BY part, entry)""")
+        steps.append(f"b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN m{k} m ON m.part = b.part AND m.entry = b.entry)")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS MATERIALIZED (SELECT rid, part, list_slice(x, part * (len(x) // 4) + 1, (part + 1) * (len(x) // 4)) AS xs FROM v, unnest(range(0, 4)) AS t(part)),
+b0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, xs AS c FROM q WHERE rid <= 256),
+{", ".join(steps)},
+f AS ({nearest.format(k=rounds)}),
+coded AS (SELECT rid, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM f GROUP BY rid),
+books AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, entry)) AS sha FROM b{rounds})
+SELECT v.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY v.label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM coded JOIN v ON v.rid = coded.rid, books"""
+
+
+CODES = _codes()
+
+_CRC = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [CAST(0 AS BIGINT) FOR z IN range(0, 8)]), lambda d, z: CASE WHEN d % 2 = 1 THEN xor(d // 2, 3988292384) ELSE d // 2 END)), 4294967295)"""
+
+#: Lags at which four words in a row of the lag's multiples are equal, then stretches between words that differ.
+PERIODIC = f"""
+WITH o AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_CRC} AS h, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS own FROM documents),
+g AS (SELECT rid, doc_id, own, len(own) AS n, h % 10 = 0 AND len(own) > 0 AS again, CASE WHEN len(own) > 0 THEN (h // 10) % len(own) END AS a, h // 10 AS g FROM o),
+w AS MATERIALIZED (SELECT rid, doc_id, n, CASE WHEN again THEN list_transform(range(0, n), lambda i: own[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE own END AS words FROM g),
+lags AS MATERIALIZED (SELECT rid, n, words, unnest(list_filter(range(1, n // 4 + 1), lambda q: len(list_filter(range(0, greatest((n - 1) // q - 2, 0)),
+  lambda k: words[k * q + 1] = words[(k + 1) * q + 1] AND words[k * q + 1] = words[(k + 2) * q + 1] AND words[k * q + 1] = words[(k + 3) * q + 1])) > 0)) AS q FROM w),
+ends AS (SELECT rid, q, list_concat([-1], list_filter(range(0, n - q), lambda i: words[i + 1] <> words[i + q + 1]), [n - q]) AS b FROM lags),
+stretches AS (SELECT rid, q, unnest(list_transform(range(1, len(b)), lambda j: {{'s': b[j] + 1, 'l': b[j + 1] - b[j] - 1 + q}})) AS x FROM ends),
+long AS MATERIALIZED (SELECT rid, x.s AS s, x.l AS l, q FROM stretches WHERE x.l >= greatest(6, 4 * q)),
+runs AS MATERIALIZED (SELECT * FROM long r WHERE NOT EXISTS (SELECT 1 FROM long k WHERE k.rid = r.rid AND k.q < r.q AND r.q % k.q = 0 AND k.s <= r.s AND k.s + k.l >= r.s + r.l)),
+best AS (SELECT rid, s, l, q FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY l / q DESC, s, q) AS k FROM runs) WHERE k = 1),
+listed AS (SELECT rid, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY rid),
+gone AS (SELECT rid, list(DISTINCT i) AS drops FROM (SELECT rid, unnest(range(s + q, s + l)) AS i FROM runs) GROUP BY rid)
+SELECT w.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.s AS BIGINT) AS "start", CAST(best.l AS BIGINT) AS length, CAST(best.q AS BIGINT) AS period, CAST(1000 * best.l // best.q AS BIGINT) AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(array_to_string(CASE WHEN drops IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(drops, i - 1)) END, ' ')) AS collapsed_sha256
+FROM w LEFT JOIN listed ON listed.rid = w.rid LEFT JOIN best ON best.rid = w.rid LEFT JOIN gone ON gone.rid = w.rid"""
+
+ORACLES = {"op2_warc_salvage": WARC, "op6_jaccard_join": JACCARD, "op9_vector_near_dup": VECTORS, "op10_exact_top_k": TOP_K, "op11_vector_codes": CODES, "op13_periodic_runs": PERIODIC}
