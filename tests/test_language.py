@@ -19,11 +19,19 @@ def test_held_out_rows(spark, model):
     got = model.classify(docs.select("doc_id", "text", "lang"), "text")
     right = F.col("language") == F.col("lang")
     n, ok, sure = got.agg(F.count("*"), F.sum(right.cast("int")), F.avg("confidence")).first()
-    print("held-out", n, ok, sure)
+    print("held-out", n, ok, sure)  # with -s
     assert n > 200 and ok / n > 0.981
     assert abs(sure - ok / n) < 0.03  # the confidence says how often it is right
 
 
+def test_the_index_may_ask_the_model(spark, model):
+    from weftspark.operators import index
+
+    rows = [("https://s.test/en", "<p>The garden was quiet in the morning and the people of the town had gone to the market</p>"), ("https://s.test/de", "<p>Der Garten war am Morgen ruhig und die Leute aus der Stadt waren auf den Markt gegangen</p>"), ("https://s.test/none", "<p></p>")]
+    got = index.postings(spark.createDataFrame(rows, "url string, html string"), languages=model)
+    assert {r.url for r in got.collect()} == {"https://s.test/en"} and "garden" in {r.word for r in got.collect()}
+
+
 def test_odd_texts(spark, model):
     got = model.classify(spark.createDataFrame([(1, None), (2, ""), (3, "é"), (4, "x" * 100_000), (5, "\x00")], "language_id int, text string"), "text")
     assert got.columns == ["language_id", "text", "language", "confidence"]

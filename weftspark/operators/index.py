@@ -39,23 +39,28 @@ def top_words(counts: DataFrame, id_col: str, k: int = TOP) -> DataFrame:
     return counts.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
 
 
-def parsed(pages: DataFrame, order: str | None = None) -> DataFrame:
+def parsed(pages: DataFrame, order: str | None = None, languages=None) -> DataFrame:
     """One row a page: normalised url, order, paragraph text, summary, language, confidence, title, description.
 
     `order` names the column by which pages of one url follow each other (the time or number of their crawl); without it
-    their order is 0. Text, summary and language are each evaluated once, whatever reads them.
+    their order is 0. The language is a vote of stop words, or what the model `languages` (language.fit()) says of the summary.
+    Text, summary and language are each evaluated once, whatever reads them.
     """
     p = pages.select(urls.normalize_url(F.col("url")).alias("url"), "html", (F.col(order) if order else F.lit(0)).alias("order")).filter("url is not null")
     p = once(p, text=markup.page_text(F.col("html")))
     p = once(p, summary_text=text.summary(F.col("text")))
-    p = once(p, sample=text.sample(F.col("summary_text")))
-    p = once(p, vote=text.vote(F.col("sample")))
-    return p.select("url", "order", "text", "summary_text", "vote.language", "vote.confidence", markup.title(F.col("html")).alias("title"), markup.description(F.col("html")).alias("description"))
+    if languages is not None:
+        p = languages.classify(p, "summary_text")
+    else:
+        p = once(p, sample=text.sample(F.col("summary_text")))
+        p = once(p, vote=text.vote(F.col("sample")))
+        p = p.withColumn("language", F.col("vote.language")).withColumn("confidence", F.col("vote.confidence"))
+    return p.select("url", "order", "text", "summary_text", "language", "confidence", markup.title(F.col("html")).alias("title"), markup.description(F.col("html")).alias("description"))
 
 
-def english(pages: DataFrame, order: str | None = None) -> DataFrame:
+def english(pages: DataFrame, order: str | None = None, languages=None) -> DataFrame:
     """Parsed pages in English with at least one token, and their tokens."""
-    return once(parsed(pages, order).filter("language = 'en'"), tokens=text.tokens(F.col("text"))).filter(F.size("tokens") > 0)
+    return once(parsed(pages, order, languages).filter("language = 'en'"), tokens=text.tokens(F.col("text"))).filter(F.size("tokens") > 0)
 
 
 def boosted(p: DataFrame, k: int = TOP) -> DataFrame:
@@ -75,9 +80,9 @@ def boosted(p: DataFrame, k: int = TOP) -> DataFrame:
     return c.select("url", "word", F.least(tf, F.lit(float(MOST))).cast("long").alias("tf"))
 
 
-def postings(pages: DataFrame, order: str | None = None) -> DataFrame:
+def postings(pages: DataFrame, order: str | None = None, languages=None) -> DataFrame:
     """(word, url, tf, weight) of English pages, of each url the last one by `order`."""
-    return boosted(english(pages, order)).select("word", "url", "tf", F.lit(0.0).alias("weight"))
+    return boosted(english(pages, order, languages)).select("word", "url", "tf", F.lit(0.0).alias("weight"))
 
 
 def keywords(words: DataFrame) -> DataFrame:

@@ -138,6 +138,16 @@ def recrawled_lookup(spark: SparkSession, d: str) -> DataFrame:
     return kept.lookup(["new", "thed", "https"])
 
 
-@query(f"{_SECOND} select n.nurl as url, null::varchar as title, null::varchar as description, s.summary as summary_text from last n join sums s using (page_id) where n.nurl not in (select nurl from again) union all select nurl, null, 'Second', 'the word of it is new and new' from fresh")
+_META = "select n.nurl as url, null::varchar as title, null::varchar as description, s.summary as summary_text from last n join sums s using (page_id) where n.nurl not in (select nurl from again) union all select nurl, null, 'Second', 'the word of it is new and new' from fresh"
+
+
+@query(f"{_SECOND}, meta as ({_META}) select * from meta where url in (select nurl from normal where page_id between 5 and 12)")
+def recrawled_page(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata of a few urls, as read from both runs."""
+    asked = pages(spark, d).filter("page_id between 5 and 12").select(urls.normalize_url(F.col("url")).alias("url")).filter("url is not null")
+    return _recrawled(spark, d, 8).metadata([r.url for r in asked.collect()])
+
+
+@query(f"{_SECOND} {_META}")
 def recrawled_metadata(spark: SparkSession, d: str) -> DataFrame:
     return _recrawled(spark, d, 2).metadata()

@@ -54,7 +54,7 @@ class KeptIndex:
     def _write(self, postings: DataFrame, pages: DataFrame) -> str:
         name = uuid.uuid4().hex
         postings.repartitionByRange("word", "url").sortWithinPartitions("word", "url").write.parquet(f"{self.path}/runs/{name}/postings")
-        pages.write.parquet(f"{self.path}/runs/{name}/pages")
+        pages.repartitionByRange("url").sortWithinPartitions("url").write.parquet(f"{self.path}/runs/{name}/pages")
         return name
 
     def add(self, pages: DataFrame, batch: str, order: str | None = None) -> None:
@@ -106,8 +106,10 @@ class KeptIndex:
             out = out.unionByName(self.spark.read.schema(schema).parquet(f"{self.path}/runs/{r['name']}/{kind}").withColumn("_run", F.lit(i)))
         return out
 
-    def _newest(self, runs: list[dict]) -> DataFrame:
+    def _newest(self, runs: list[dict], urls: list[str] | None = None) -> DataFrame:
         rows = self._table(runs, "pages", PAGES)
+        if urls is not None:
+            rows = rows.filter(F.col("url").isin(urls))
         if len(runs) < 2:
             return rows
         rest = [c.split()[0] for c in PAGES.split(", ")][1:]
@@ -134,9 +136,10 @@ class KeptIndex:
         """Postings of some words; the filter reaches the scans, whose files lie in word order."""
         return self._postings(self.manifest()["runs"], words)
 
-    def metadata(self) -> DataFrame:
-        """(url, title, description, summary_text) of indexed urls, each from its newest crawl."""
-        return self._newest(self.manifest()["runs"]).filter("indexed").select("url", "title", "description", "summary_text")
+    def metadata(self, urls: list[str] | None = None) -> DataFrame:
+        """(url, title, description, summary_text) of indexed urls, each from its newest crawl; of some of them only, if given: the
+        filter reaches the scans, and files whose urls lie elsewhere are skipped."""
+        return self._newest(self.manifest()["runs"], urls).filter("indexed").select("url", "title", "description", "summary_text")
 
 
 def index_stream(pages: DataFrame, kept: KeptIndex, checkpoint: str, order: str | None = None, drain: Drain | None = None) -> StreamingQuery:
