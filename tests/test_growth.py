@@ -35,3 +35,9 @@ def repeated(spark, tmp_path_factory):
 def test_each_queued_page_comes_once_where_urls_repeat(spark, repeated):
     found = like_sql(spark, repeated, "queued_pages")
     assert len(found) == len(set(found)) > 0
+
+
+def test_bodies_that_pages_are_given_do_not_grow_with_their_numbers(spark, tmp_path):
+    p = spark.read.parquet(f"{DATA}/pages.parquet").limit(60)
+    p.withColumn("page_id", F.col("page_id") + 600_000_000).write.parquet(f"{tmp_path}/pages.parquet")
+    assert all("True" in r for r in like_sql(spark, tmp_path, "status_filter"))  # all are cut
