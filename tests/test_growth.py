@@ -1,11 +1,14 @@
 """Queries on tables that have what larger copies have: repeated urls, large page numbers."""
 
 import os
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from weftspark.functions import text
+from weftspark.operators import index
 from weftspark.plans import catalogue, crawled, kept  # noqa: F401  their queries join the catalogue
 
 from test_catalogue import DATA, rows
@@ -41,3 +44,26 @@ def test_bodies_that_pages_are_given_do_not_grow_with_their_numbers(spark, tmp_p
     p = spark.read.parquet(f"{DATA}/pages.parquet").limit(60)
     p.withColumn("page_id", F.col("page_id") + 600_000_000).write.parquet(f"{tmp_path}/pages.parquet")
     assert all("True" in r for r in like_sql(spark, tmp_path, "status_filter"))  # all are cut
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_counts_by_document_are_dealt_once(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    assert exchanges(index.top_words(index.term_counts(docs, "doc_id", "text", together=True), "doc_id", 1000)) == 1
+
+
+#: Tokens as the public rules set them apart, signs kept as tokens until the end.
+RULES = [(r'([;@#$%&?!\[\](){}<>"…]|--)', " $1 "), (r"([:,])([^\d])", " $1 $2"), (r"([:,])$", " $1"), (r"\.(\s|$)", " . $1"), (r"('s|'re|'ve|'ll|'d|'m|n't)(\s|$)", " $1 $2")]
+
+
+def test_words_are_those_of_the_rules_on_odd_texts(spark):
+    pick, parts = random.Random(5), [*"ab1 .:,;-'sn\n\t", "n't", "'re", "--", "..", "é", "…", "::", "don't", "'ll", ", "]
+    t = spark.createDataFrame([("".join(pick.choice(parts) for _ in range(pick.randint(0, 14))),) for _ in range(5000)], "t string")
+    plain = F.lower("t")
+    for pattern, to in RULES:
+        plain = F.regexp_replace(plain, pattern, to)
+    plain = F.filter(F.split(plain, r"\s+"), lambda w: w.rlike(r"^[\p{L}\p{N}]+$"))
+    assert t.filter(~plain.eqNullSafe(text.words(F.col("t")))).count() == 0
