@@ -67,3 +67,12 @@ def test_words_are_those_of_the_rules_on_odd_texts(spark):
         plain = F.regexp_replace(plain, pattern, to)
     plain = F.filter(F.split(plain, r"\s+"), lambda w: w.rlike(r"^[\p{L}\p{N}]+$"))
     assert t.filter(~plain.eqNullSafe(text.words(F.col("t")))).count() == 0
+
+
+def test_new_postings_are_read_twice_but_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+    docs = spark.range(40).select(F.concat(F.lit("u"), F.col("id") % 4).alias("url"), F.lit("w").alias("word"), F.col("id").alias("tf"))
+    seen = F.udf(lambda x: made.add(1) or x, "long").asNondeterministic()
+    new = docs.select("url", "word", seen("tf").alias("tf")).filter("tf >= 0")
+    assert index.replace_pages(docs.withColumn("url", F.concat("url", F.lit("x"))), new).count() == 80
+    assert made.value == 40
