@@ -7,9 +7,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from weftspark.functions import text
-from weftspark.operators import index
+from weftspark.functions import markup, text
+from weftspark.operators import index, search
 from weftspark.plans import catalogue, crawled, kept  # noqa: F401  their queries join the catalogue
+from weftspark.streaming import runs
 
 from test_catalogue import DATA, rows
 
@@ -76,3 +77,32 @@ def test_new_postings_are_read_twice_but_made_once(spark):
     new = docs.select("url", "word", seen("tf").alias("tf")).filter("tf >= 0")
     assert index.replace_pages(docs.withColumn("url", F.concat("url", F.lit("x"))), new).count() == 80
     assert made.value == 40
+
+
+def counted(spark, pages):
+    """Pages that count how often their html is read."""
+    made = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: made.add(1) or x, "string").asNondeterministic()
+    return made, pages.withColumn("html", seen("html"))
+
+
+def test_a_kept_index_parses_each_page_of_a_batch_once(spark, tmp_path):
+    made, pages = counted(spark, spark.read.parquet(f"{DATA}/pages.parquet").limit(30).coalesce(1))
+    kept = runs.KeptIndex(spark, str(tmp_path))
+    kept.add(pages, "a", "page_id")
+    assert kept.metadata().count() > 0 and made.value == 30
+
+
+def test_found_pages_alone_get_their_metadata_put_together(spark):
+    words = spark.createDataFrame([(w, f"u{i}", i + 1) for i in range(30) for w in ("a", "b")][:-1], "word string, url string, tf long")
+    made, about = counted(spark, spark.range(30).select(F.concat(F.lit("u"), "id").alias("url"), F.col("id").cast("string").alias("html")))
+    found = search.search(words, "b", 3, metadata=about.groupBy("url").agg(F.max("html").alias("html"))).collect()
+    assert {(r.url, r.html) for r in found} == {(f"u{i}", str(i)) for i in (26, 27, 28)}
+    plan = search.search(words, "b", 3, metadata=about)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+
+
+def test_title_and_description_read_the_metas_once(spark):
+    p = spark.createDataFrame([('<meta name="title" content="T"><meta property="og:title" content="O"><meta name=description content=D>',), ("",), (None,)], "html string")
+    both = p.select(markup.head(F.col("html")).alias("h"), markup.title(F.col("html")).alias("t"), markup.description(F.col("html")).alias("d"))
+    assert [(tuple(r.h), r.t, r.d) for r in both.collect()] == [(("O", "D"), "O", "D"), ((None, None), None, None), ((None, None), None, None)]

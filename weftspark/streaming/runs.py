@@ -63,13 +63,13 @@ class KeptIndex:
         before = self.manifest()
         if batch in before["batches"]:
             return
-        own = index.english(pages, order)
+        own = index.english_once(pages, order)
         words = index.boosted(own).select("word", "url", "tf")
         listed = pages.select(urls.normalize_url(F.col("url")).alias("url")).filter("url is not null").distinct()
-        newest = own.groupBy("url").agg(F.max(F.struct("order", F.struct("title", "description", "summary_text").alias("x"))).alias("m"))
-        rows = listed.join(newest.select("url", "m.x.*", F.lit(True).alias("_indexed")), "url", "left")
+        rows = listed.join(index.described(own).withColumn("_indexed", F.lit(True)), "url", "left")
         rows = rows.select("url", F.coalesce("_indexed", F.lit(False)).alias("indexed"), "title", "description", "summary_text")
         name = self._write(words, rows)
+        store.release(own)
         self._commit(before, [*before["runs"], {"name": name, "level": 0}], [*before["batches"], batch])
         while self._merge_due():
             pass
