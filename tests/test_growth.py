@@ -5,12 +5,13 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from weftspark.functions import markup, text
 from weftspark.operators import index, search
 from weftspark.plans import catalogue, crawled, kept  # noqa: F401  their queries join the catalogue
-from weftspark.streaming import runs
+from weftspark.streaming import keyed, runs
 
 from test_catalogue import DATA, rows
 
@@ -106,3 +107,37 @@ def test_title_and_description_read_the_metas_once(spark):
     p = spark.createDataFrame([('<meta name="title" content="T"><meta property="og:title" content="O"><meta name=description content=D>',), ("",), (None,)], "html string")
     both = p.select(markup.head(F.col("html")).alias("h"), markup.title(F.col("html")).alias("t"), markup.description(F.col("html")).alias("d"))
     assert [(tuple(r.h), r.t, r.d) for r in both.collect()] == [(("O", "D"), "O", "D"), ((None, None), None, None), ((None, None), None, None)]
+
+
+def test_an_entry_is_read_in_one_call():
+    calls = []
+
+    class State:
+        now = None
+
+        def get(self):
+            calls.append("get")
+            return self.now
+
+        def exists(self):
+            calls.append("exists")
+            return self.now is not None
+
+        def update(self, now):
+            calls.append("update")
+            self.now = now
+
+    class Handle:
+        def getValueState(self, *_):
+            return State()
+
+        def registerTimer(self, _):
+            calls.append("timer")
+
+        def deleteTimer(self, _):
+            calls.append("delete")
+
+    e = keyed.Entries(None)
+    e.init(Handle())
+    assert list(e.handleInputRows(("u",), iter([Row(at_ms=1, score=2.0, due_ms=9)]), None)) == []
+    assert calls == ["get", "update", "timer"] and e.entry.now == (2.0, 9, -1)
